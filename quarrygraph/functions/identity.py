@@ -21,7 +21,7 @@ def escape(col: Column) -> Column:
 
 
 def normal_namespace(col: Column) -> Column:
-    parts = F.transform(F.split(F.replace(col, F.lit(GLOBAL), F.lit("")), r"\."), F.trim)
+    parts = F.transform(F.split(F.replace(col, F.lit(GLOBAL), F.lit("")), r"\."), lambda p: F.trim(p))
     return F.array_join(F.filter(parts, lambda p: p != ""), ".")
 
 
@@ -67,13 +67,21 @@ def is_sha256(col: Column) -> Column:
     return col.rlike("^[0-9a-fA-F]{64}$")
 
 
-def display_name(kind: Column, name: Column, owner: Column, arity: Column, params: Column, discriminator: Column) -> Column:
-    """How a symbol is shown: a constructor by its type; arity, parameters and, for local symbols, the discriminator where there are any."""
-    shown = F.when(kind == "constructor", owner).otherwise(name)
+def display_name(kind: Column, name: Column, namespace: Column, containing: Column, members: Column, arity: Column, params: Column, discriminator: Column) -> Column:
+    """How a symbol is shown; ``containing``, ``members`` and ``params`` are arrays of texts.
+
+    Namespace and types lead, a member path follows with "::"; a constructor goes by its type's name. Arity and parameters are shown where there
+    are any, a discriminator only for local symbols.
+    """
+    last = F.element_at(containing, -1)
+    own = F.when((kind == "constructor") & (F.size(containing) > 0), last).otherwise(name)
+    path = F.when(F.size(members) > 0, F.concat(F.array_join(members, "::"), F.lit("::"))).otherwise(F.lit(""))
+    parts = F.filter(F.array(F.coalesce(namespace, F.lit("")), F.array_join(containing, ".")), lambda p: p != "")
+    qualified = F.array_join(F.concat(parts, F.array(F.concat(path, own))), ".")
     generic = F.when(arity > 0, F.concat(F.lit("<"), arity.cast("string"), F.lit(">"))).otherwise(F.lit(""))
     called = F.when(F.size(params) > 0, F.concat(F.lit("("), F.array_join(params, ", "), F.lit(")"))).otherwise(F.lit(""))
-    local = F.when(kind.isin("local", "range_variable", "label") & (F.coalesce(discriminator, F.lit("")) != ""), F.concat(F.lit("["), discriminator, F.lit("]"))).otherwise(F.lit(""))
-    return F.concat(shown, generic, called, local)
+    local = F.when(kind.isin("local", "range_variable", "label") & discriminator.isNotNull(), F.concat(F.lit(" ["), discriminator, F.lit("]"))).otherwise(F.lit(""))
+    return F.concat(qualified, generic, called, local)
 
 
 def snake_case(col: Column) -> Column:

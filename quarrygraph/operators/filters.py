@@ -7,22 +7,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.functions.identity import glob_regex, under
+from quarrygraph.functions.identity import ancestors, glob_regex, under
 
 # The kinds a query may name.
 KINDS = (
-    "namespace", "class", "struct", "interface", "enum", "delegate", "record", "record_struct", "type", "method", "constructor", "static_constructor", "destructor", "operator", "userdefinedoperator", "conversion", "localfunction", "property", "indexer", "field", "constant", "event", "parameter", "local", "range_variable", "type_parameter", "label", "alias", "enum_member",
+    "namespace", "class", "interface", "struct", "enum", "delegate", "record", "record_struct", "method", "constructor", "static_constructor", "destructor", "operator", "conversion", "userdefinedoperator", "localfunction", "property", "indexer", "field", "enum_member", "event", "parameter", "local", "local_constant", "range_variable", "type_parameter", "label", "alias", "union",
 )
 #: Names and extensions of files that always matter to a project.
-PROJECT_EXTENSIONS = (".cs", ".csproj", ".sln", ".slnx", ".props", ".targets")
-PROJECT_FILES = ("global.json", "nuget.config", "packages.lock.json", "project.assets.json", "directory.build.props", "directory.build.targets", "directory.packages.props", "directory.build.rsp", "directory.solution.props", "directory.solution.targets", ".editorconfig", ".globalconfig")
+PROJECT_EXTENSIONS = ("cs", "csproj", "sln", "slnx", "props", "targets")
+PROJECT_FILES = ("global.json", ".editorconfig", "directory.build.props", "directory.build.targets", "directory.build.rsp", "directory.solution.props", "directory.solution.targets", "msbuild.rsp", "directory.packages.props", "packages.lock.json", "project.assets.json", "nuget.config")
 
 
 def symbol_kind() -> Column:
     """The kind a query sees: any method that is none of the special ones is a plain method."""
     raw, node = F.lower("raw_kind"), F.col("node_kind")
-    special = F.when(raw == "staticconstructor", "static_constructor").when(raw == "userdefinedoperator", "operator").otherwise("method")
-    return F.when(raw == "ordinary", "method").when(node == "method", special).when(node == "constructor", F.when(raw == "staticconstructor", "static_constructor").otherwise("constructor")).otherwise(raw)
+    named = F.when(raw == "ordinary", "method").when(raw == "staticconstructor", "static_constructor").when(raw == "userdefinedoperator", "operator")
+    return named.when(node.isin("method", "constructor"), node).otherwise(raw)
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ class Filters:
 
 def conventional_file(path: Column) -> Column:
     name = F.lower(F.element_at(F.split(path, "/"), -1))
-    return name.isin(*PROJECT_FILES) | F.regexp_like(name, F.lit(r"\.(cs|csproj|sln|slnx|props|targets)$"))
+    return name.isin(*PROJECT_FILES) | F.regexp_like(name, F.lit(rf"\.({'|'.join(PROJECT_EXTENSIONS)})$"))
 
 
 def temporary_of(path: Column, target: Column) -> Column:
@@ -87,21 +87,25 @@ def excludes_folder(folder: Column, excluded: list[str]) -> Column:
 
 
 def classify_events(events: DataFrame, inputs: DataFrame, outputs: list[str], patterns: list[str]) -> DataFrame:
-    """(accepted, cold) of each event by ordered rules: outputs and temporary files are ignored, known inputs warm unless created,
-    deleted or renamed, conventional files and pattern hits cold, folders unknown or renamed cold, the rest ignored."""
-    known = F.col("known")
-    out_of = F.lit(False)
+    """(accepted, needs_cold) of each event.
+
+    Ends of an event below an output folder or in a temporary file do not count. A known input (inputs: path, is_source) is accepted,
+    warm only for a plain change of sources that was not captured cold. A folder above an input, or an end that an input pattern
+    matches, is accepted cold. The rest is not accepted. Ends are joined by equality with inputs and with inputs' folders.
+    """
+    key = ["path", "old_path", "kind", "cold", "is_directory", "event_id"]
+    ends = events.select(*key, F.explode(F.array_distinct(F.array_compact(F.array("path", "old_path")))).alias("end"))
+    tool = F.endswith("end", F.lit(".tmp"))
     for o in outputs:
-        out_of |= under(F.col("path"), F.lit(o))
-    rule = (
-        F.when(out_of, 1)
-        .when(F.endswith("path", F.lit(".tmp")), 2)
-        .when(known & (F.col("kind") == "changed") & ~F.col("cold"), 3)
-        .when(known, 4)
-        .when(conventional_file(F.col("path")), 5)
-        .when(glob(F.col("path"), patterns) & ~F.coalesce("is_directory", F.lit(False)), 6)
-        .when(F.coalesce("is_directory", F.lit(True)) & F.col("kind").isin("renamed", "deleted"), 7)
-        .otherwise(8)
-    )
-    marked = events.join(inputs.select("path", F.lit(True).alias("known")), "path", "left").withColumn("known", F.coalesce("known", F.lit(False))).withColumn("rule", rule)
-    return marked.withColumns({"accepted": F.col("rule").between(3, 7), "cold": F.col("rule").between(4, 7)})
+        tool |= under(F.col("end"), F.lit(o))
+    known = inputs.groupBy(F.col("path").alias("end")).agg(F.bool_and("is_source").alias("is_source"))
+    folders = inputs.select(F.explode(ancestors(F.col("path"))).alias("end")).distinct().withColumn("above", F.lit(True))
+    each = ends.where(~tool).join(known, "end", "left").join(folders, "end", "left")
+    hit = glob(F.col("end"), patterns) & ~F.coalesce("is_directory", F.lit(False))
+    found = each.groupBy("event_id").agg(F.bool_or(F.col("is_source").isNotNull()).alias("exact"), F.bool_and(F.coalesce("is_source", F.lit(False))).alias("sources"), F.bool_or(F.coalesce("above", F.lit(False))).alias("above"), F.bool_or(hit).alias("hit"))
+    out = events.join(found, "event_id", "left")
+    for c in ("exact", "sources", "above", "hit"):
+        out = out.withColumn(c, F.coalesce(c, F.lit(False)))
+    accepted = F.col("exact") | F.col("above") | F.col("hit")
+    warm = F.col("exact") & (F.col("kind") == "changed") & F.col("sources") & ~F.col("cold")
+    return out.select("event_id", "path", "kind", accepted.alias("accepted"), (accepted & ~warm).alias("needs_cold"))

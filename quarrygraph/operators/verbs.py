@@ -42,13 +42,13 @@ def signature(decl: DataFrame, symbol_id: str) -> DataFrame:
 
 def modifiers_of(symbol_class: str, flags: dict[str, Column]) -> Column:
     """A symbol's modifiers in the order of its class."""
-    # Modifier orders.
+    # Modifiers of each class of symbol, in order.
     order = {
-        "type": ("static", "abstract", "sealed", "readonly", "ref", "partial", "record"),
-        "method": ("static", "abstract", "virtual", "override", "sealed", "extern", "async", "readonly", "partial"),
-        "property": ("static", "abstract", "virtual", "override", "sealed", "required", "readonly"),
-        "field": ("const", "static", "readonly", "volatile", "required"),
+        "method": ("static", "abstract", "virtual", "override", "sealed", "async", "extern", "readonly"),
+        "property": ("static", "abstract", "virtual", "override", "sealed", "readonly"),
+        "field": ("static", "readonly", "const", "volatile"),
         "event": ("static", "abstract", "virtual", "override", "sealed"),
+        "type": ("static", "abstract", "sealed"),
     }[symbol_class]
     return F.array_compact(F.array(*(F.when(flags[m], m) for m in order if m in flags)))
 
