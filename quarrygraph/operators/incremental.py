@@ -92,7 +92,7 @@ def coalesced_journal(events: DataFrame) -> DataFrame:
     nth = F.sum(known.cast("int")).over(Window.partitionBy("path", "old_path", "run").orderBy("clock"))
     e = e.withColumn("matters", known & (nth <= 2))
     ordered = F.array_sort(F.collect_list(F.when(F.col("matters"), F.struct("clock", "is_directory"))))
-    first = F.element_at(F.col("seen"), 1)["is_directory"]
+    first = F.get("seen", F.lit(0))["is_directory"]
     fold = F.aggregate(F.slice("seen", F.lit(2), F.greatest(F.size("seen") - 1, F.lit(0))), first, lambda a, x: F.when(a.isNull(), x["is_directory"]).when(x["is_directory"].isNull() | (a == x["is_directory"]), a).otherwise(F.lit(None).cast("boolean")))
     g = e.groupBy("path", "old_path").agg(F.max("rank").alias("rank"), F.bool_or("cold").alias("cold"), F.count("*").alias("events"), F.min("clock").alias("first_clock"), F.max("clock").alias("last_clock"), ordered.alias("seen"))
     kinds = F.array(*(F.lit(k) for k in KIND_RANK))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quarrygraph.ship import ship
+
 #: Batches aimed at for each worker, and the fewest documents of a batch.
 PER_WORKER, LEAST_DOCUMENTS = 2, 32
 
@@ -33,6 +35,8 @@ def boundaries(costs: Sequence[int], workers: int, per_worker: int = PER_WORKER,
 def batch_plan(documents: DataFrame, workers: int, per_worker: int = PER_WORKER, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """(project, batch, documents, cost): a greedy walk in key order within each project, whose list of (key, cost) is one group."""
 
+    ship(documents.sparkSession)
+
     def plan(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("key", kind="stable")
         if x["key"].duplicated().any():
