@@ -10,9 +10,7 @@ import atexit
 import gc
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,26 +18,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrygraph.ship import ship
+
 #: White space of every contract here: space and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
 #: Stands for a null doc_id in join keys; the text hash beside it keeps it apart from a real one.
 NULL_ID = -(2**63)
 _written: dict[str, SparkSession] = {}
-_shipped: set[str] = set()
 
 
 def tune(spark: SparkSession) -> None:
     """Keep Arrow batches small, as a batch of long documents must fit beside the JVM heap, and send executors this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="quarrygraph-")) / "quarrygraph-package.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        context.addPyFile(str(archive))
-        _shipped.add(context.applicationId)
+    ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
