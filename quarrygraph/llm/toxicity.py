@@ -204,7 +204,7 @@ def _terms(docs: DataFrame, sample: DataFrame) -> list[tuple[str, bool]]:
     n = {r["y"]: r["count"] for r in total}
     if len(n) < 2:
         return []
-    least = max(3, n[1] // 200)
+    least = max(3, n[1] // 100)
     counted = one.mapInArrow(rows, "t string, stem boolean, neg long, pos long").groupBy("t", "stem").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     # At least 50 times as frequent among toxic documents.
     good = counted.where((F.col("pos") >= least) & (F.col("pos") / n[1] > 50 * (F.col("neg") + 0.2) / n[0]))
