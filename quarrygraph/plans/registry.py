@@ -14,7 +14,7 @@ from quarrygraph.plans import oracle as o
 from quarrygraph.plans.batches import batch_plan
 from quarrygraph.plans.paging import page
 from quarrygraph.schema import COUNTED
-from quarrygraph.sources import star
+from quarrygraph.sources import discovery, facts, star
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -501,6 +501,94 @@ def recovery_counts(spark: SparkSession, d: str) -> DataFrame:
     return incremental.recovery_counts(e)
 
 
+# Inputs and projects
+
+
+@query("select *, case when n = 0 then path else path || chr(31) || lpad(n::varchar, 8, '0') end as key from (select path, ordinal, row_number() over (partition by path order by ordinal) - 1 as n from (select 'f' || (l_partkey % 500) || '.cs' as path, l_orderkey * 1000000 + l_suppkey * 100 + l_linenumber as ordinal, row_number() over (partition by l_orderkey, l_suppkey, l_linenumber order by l_partkey) as r from lineitem) where r = 1)".replace("select *,", "select path, ordinal,"))
+def tree_keys(spark: SparkSession, d: str) -> DataFrame:
+    l = star.table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    trees = l.select(F.concat(F.lit("f"), (F.col("p") % 500).cast("string"), F.lit(".cs")).alias("path"), F.expr("l_orderkey * 1000000 + l_suppkey * 100 + l_linenumber").alias("ordinal"))
+    return discovery.tree_keys(trees)
+
+
+@query("select s_suppkey, case when s_suppkey % 3 = 0 then 'net' || (s_suppkey % 5) when s_suppkey % 3 = 1 then 'tfm' || s_nationkey else 'unknown' end as tfm from supplier")
+def target_frameworks(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    asked = F.when(k % 3 == 0, F.concat(F.lit(" net"), (k % 5).cast("string"), F.lit(" "))).otherwise(F.lit(" "))
+    evaluated = F.when(k % 3 == 1, F.concat(F.lit(" ;tfm"), F.col("s_nationkey").cast("string"))).otherwise(F.lit(""))
+    return star.table(spark, d, "supplier").select("s_suppkey", facts.target_framework(asked, evaluated, F.lit("  ")).alias("tfm"))
+
+
+_FOLDERS = "folders as (select distinct 'src/' || r_name as f from region union select 'src')"
+
+
+@query(o.sql([_FOLDERS, "names as (select unnest([" + ", ".join(f"'{n}'" for n in discovery.CONFIGURATION) + "]) as n)"], "select f || '/' || n as candidate from folders cross join names"))
+def configuration_candidates(spark: SparkSession, d: str) -> DataFrame:
+    r = star.table(spark, d, "region").select(F.concat(F.lit("src/"), "r_name", F.lit("/a.csproj")).alias("path"))
+    return discovery.configuration_candidates(r)
+
+
+_ROOTS = "roots as (select split_part(split_part(split_part(url, '://', 2), '?', 1), '#', 1) as path, bool_or(page_id % 2 = 0) as recursive from pages group by 1)"
+
+
+@query(o.sql([_ROOTS], "select path, recursive from roots r where not exists (select 1 from roots q where q.recursive and q.path <> r.path and starts_with(r.path, q.path || '/'))"))
+def watch_roots(spark: SparkSession, d: str) -> DataFrame:
+    path = F.split_part(F.split_part(F.split_part(F.col("url"), F.lit("://"), F.lit(2)), F.lit("?"), F.lit(1)), F.lit("#"), F.lit(1))
+    return discovery.watch_roots(star.table(spark, d, "pages").select(path.alias("path"), (F.col("page_id") % 2 == 0).alias("recursive")))
+
+
+@query("select 'out/' || n_nationkey as path from nation where n_nationkey not in (1, 2)")
+def output_roots(spark: SparkSession, d: str) -> DataFrame:
+    n = star.table(spark, d, "nation").select(F.concat(F.lit("out/"), F.col("n_nationkey").cast("string"), F.lit("/; ;/")).alias("folders"))
+    kept = spark.createDataFrame([("out/1",), ("out/2/sub/project",)], "path string")
+    return discovery.output_roots(n, kept)
+
+
+@query(o.sql([o.INVENTORY], "select distinct path from prev where path not in (select path from cur) and project <> 'src1'"))
+def infrastructure_paths(spark: SparkSession, d: str) -> DataFrame:
+    p = star.inventory(spark, d, "previous")
+    return discovery.infrastructure(p, star.inventory(spark, d, "current"), p.where("project = 'src1'"))
+
+
+@query(
+    """with recursive step as (select 'n' || n_nationkey as item, 'n' || (n_nationkey // 2) as upstream, 'x' || (n_nationkey % 2) as more from nation),
+known as (select 'n0' as item, '**/*.cs' as \"glob\", ['obj/**'] as excludes, ['n0'] as way union all
+  select s.item, k.\"glob\", list_sort(list_distinct(list_append(k.excludes, s.more))), list_append(k.way, s.item) from known k join step s on s.upstream = k.item where not list_contains(k.way, s.item))
+select distinct item, \"glob\", array_to_string(excludes, ';') as excludes from known"""
+)
+def candidate_rules(spark: SparkSession, d: str) -> DataFrame:
+    n = star.table(spark, d, "nation")
+    forwards = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("item"), F.concat(F.lit("n"), F.floor(F.col("n_nationkey") / 2).cast("string")).alias("upstream"), F.array(F.concat(F.lit("x"), (F.col("n_nationkey") % 2).cast("string"))).alias("excludes"))
+    rules = spark.createDataFrame([("n0", "**/*.cs", ["obj/**"])], "item string, glob string, excludes array<string>")
+    return discovery.candidate_rules(rules, forwards).withColumn("excludes", F.array_join("excludes", ";"))
+
+
+@query(o.sql([o.DECL, o.OBS], "select (select count(distinct project) from decl)::bigint as projects, (select count(*) from decl)::bigint as declarations, (select count(*) from edges)::bigint as edges, (select count(*) from locs where file is not null)::bigint as places"))
+def evidence_summary(spark: SparkSession, d: str) -> DataFrame:
+    edges = merge.edge_counts(star.observations(spark, d)).agg(F.count("*").alias("edges"), F.sum("n_locations").alias("places"))
+    decl = star.declarations(spark, d).agg(F.count_distinct("project").alias("projects"), F.count("*").alias("declarations"))
+    return decl.crossJoin(F.broadcast(edges))  # one row each
+
+
+@query(o.sql([o.INVENTORY], "select project, count(*)::bigint as documents, sum(length)::bigint as cost from cur group by project"))
+def project_costs(spark: SparkSession, d: str) -> DataFrame:
+    return star.inventory(spark, d, "current").groupBy("project").agg(F.count("*").alias("documents"), F.sum("length").alias("cost"))
+
+
+@query("select user_id as operation, event_type as phase, event_id as mark_id, max(value) over (partition by user_id, event_type order by ts, event_id rows unbounded preceding) as progress from events")
+def monotonic_progress(spark: SparkSession, d: str) -> DataFrame:
+    from quarrygraph.streaming.observe import monotonic_progress as running
+
+    e = star.table(spark, d, "events").select(F.col("user_id").alias("operation"), F.col("event_type").alias("phase"), "ts", F.col("event_id").alias("mark_id"), F.col("value").alias("done"))
+    return running(e).select("operation", "phase", "mark_id", "progress")
+
+
+@query("select min(s_suppkey) as s_suppkey from supplier where starts_with(lower(s_name), 'supplier#000000003') having count(*) = 1")
+def unique_prefix(spark: SparkSession, d: str) -> DataFrame:
+    s = star.table(spark, d, "supplier").where(F.startswith(F.lower("s_name"), F.lower(F.lit("SUPPLIER#000000003"))))
+    return s.agg(F.min("s_suppkey").alias("s_suppkey"), F.count("*").alias("n")).where("n = 1").select("s_suppkey")
+
+
 # Plans and export
 
 
