@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrygraph.lineage import cut
+
 #: Relations that an operation of each kind yields, with the role of the member they point to.
 RULES: dict[str, tuple[tuple[str, str], ...]] = {
     "invocation": (("calls", "method"), ("references", "constrained_type")),
@@ -99,7 +101,7 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     step = edges.selectExpr("source_id as reached", "target_id as next").distinct()
     for depth in range(2, most + 1):
         new = frontier.join(step, "reached").selectExpr("start", "next as reached", f"{depth} as depth").distinct().join(known.select("start", "reached"), ["start", "reached"], "left_anti")
-        new = new.checkpoint() if depth % 8 == 0 else new.persist()
+        new = cut(new) if depth % 8 == 0 else new.persist()
         if new.isEmpty():
             break
         known, frontier = known.unionByName(new.select("start", "reached", "depth")), new

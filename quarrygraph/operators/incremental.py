@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrygraph.lineage import cut
+
 #: Results of a comparison from worst to best.
 DIFFERENT, METADATA, CONTENT = "different", "metadata_match", "content_match"
 #: Precedence of event kinds; the strongest of a path wins.
@@ -52,7 +54,7 @@ def reverse_closure(dirty: DataFrame, references: DataFrame, most: int = 64) ->
     refs = references.select(F.col("refers_to").alias("project"), F.col("project").alias("dependent")).distinct()
     for depth in range(most):
         new = frontier.join(refs, "project").select(F.col("dependent").alias("project")).distinct().join(known, "project", "left_anti")
-        new = new.checkpoint() if depth % 8 == 7 else new.persist()
+        new = cut(new) if depth % 8 == 7 else new.persist()
         if new.isEmpty():
             break
         known, frontier = known.union(new), new

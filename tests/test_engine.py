@@ -345,3 +345,10 @@ def test_admission_and_decisions(spark):
     assert {r.path: r.decision for r in path_decision(admitted(e, 2), s).collect()} == {"a": "cold", "b": "warm"}
     c = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha string")
     assert [r.path for r in unconsumed(c, spark.createDataFrame([("a", "1")], "path string, sha string")).collect()] == ["b"]
+
+
+def test_long_chains_are_cut(spark):
+    chain = spark.range(20).selectExpr("cast(id as string) as source_id", "cast(id + 1 as string) as target_id")
+    assert derive.closure(chain).where("start = '0'").count() == 20
+    refs = chain.selectExpr("source_id as project", "target_id as refers_to")
+    assert incremental.reverse_closure(spark.createDataFrame([("20",)], "project string"), refs).count() == 21
