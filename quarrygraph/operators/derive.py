@@ -96,15 +96,16 @@ def innermost(positions: DataFrame, symbols: DataFrame, bucket: int = 64) -> Dat
 
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     """(start, reached, depth): everything reachable from each start, least depth; cycles end where nothing new is found."""
-    frontier = edges.selectExpr("source_id as start", "target_id as reached", "1 as depth").distinct()
+    frontier = cut(edges.selectExpr("source_id as start", "target_id as reached", "1 as depth").distinct())
     known = frontier
-    step = edges.selectExpr("source_id as reached", "target_id as next").distinct()
+    step = cut(edges.selectExpr("source_id as reached", "target_id as next").distinct())
     for depth in range(2, most + 1):
         new = frontier.join(step, "reached").selectExpr("start", "next as reached", f"{depth} as depth").distinct().join(known.select("start", "reached"), ["start", "reached"], "left_anti")
-        new = cut(new) if depth % 8 == 0 else new.persist()
+        new = cut(new)
         if new.isEmpty():
             break
         known, frontier = known.unionByName(new.select("start", "reached", "depth")), new
+        known = cut(known) if depth % 16 == 0 else known
     return known
 
 
@@ -151,3 +152,38 @@ def unpacked_arguments(sites: DataFrame) -> DataFrame:
 def window_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def name_references(names: DataFrame, invoked: DataFrame) -> DataFrame:
+    """References of names (name_id, caller_id, target_id, alias_id): not those that are the name of an invoked method; a use of an alias also refers to it."""
+    plain = names.join(invoked.select("name_id").distinct(), "name_id", "left_anti").where("target_id is not null")
+    alias = names.where("alias_id is not null")
+    return plain.selectExpr("caller_id as source_id", "target_id", "'references' as relation").unionByName(alias.selectExpr("caller_id as source_id", "alias_id as target_id", "'references' as relation"))
+
+
+def operation_roots(operations: DataFrame) -> DataFrame:
+    """Operations (tree, path) with no other operation above them in their tree, each once."""
+    above = F.expr("transform(sequence(1, greatest(size(split(path, '/')) - 1, 1)), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
+    once = operations.select("tree", "path").distinct()
+    covered = once.select("tree", "path", F.explode(above).alias("up")).where("up <> path").join(once.select("tree", F.col("path").alias("up")), ["tree", "up"]).select("tree", "path").distinct()
+    return once.join(covered, ["tree", "path"], "left_anti")
+
+
+def constraint_edges(parameters: DataFrame, aliases: DataFrame) -> DataFrame:
+    """References of type parameters (id, constraints array) to their constraints and of aliases (id, target_id) to their targets."""
+    bound = parameters.select(F.col("id").alias("source_id"), F.explode("constraints").alias("target_id"))
+    return bound.unionByName(aliases.select(F.col("id").alias("source_id"), "target_id")).withColumn("relation", F.lit("references")).distinct()
+
+
+def event_accessor(adds: Column, add_id: Column, remove_id: Column) -> Column:
+    return F.when(adds, add_id).otherwise(remove_id)
+
+
+def first_method(methods: DataFrame) -> DataFrame:
+    """The first method below each function pointer's target (pointer_id, method_id, position)."""
+    return methods.groupBy("pointer_id").agg(F.min_by("method_id", F.struct("position", "method_id")).alias("method_id"))
+
+
+def dispose_target(direct: Column, by_interface: Column) -> Column:
+    """What a using statement calls: the type's own Dispose, else its interface's."""
+    return F.coalesce(direct, by_interface)

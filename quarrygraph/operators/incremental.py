@@ -49,15 +49,17 @@ def reverse_closure(dirty: DataFrame, references: DataFrame, most: int = 64) ->
 
     Rounds join the newest projects only; a cycle ends when a round finds nothing new.
     """
-    known = dirty.select("project").distinct()
+    known = cut(dirty.select("project").distinct())
     frontier = known
     refs = references.select(F.col("refers_to").alias("project"), F.col("project").alias("dependent")).distinct()
+    refs = cut(refs)
     for depth in range(most):
         new = frontier.join(refs, "project").select(F.col("dependent").alias("project")).distinct().join(known, "project", "left_anti")
-        new = cut(new) if depth % 8 == 7 else new.persist()
+        new = cut(new)
         if new.isEmpty():
             break
         known, frontier = known.union(new), new
+        known = cut(known) if depth % 16 == 15 else known
     return known
 
 
@@ -149,3 +151,14 @@ def nested_roots(roots: DataFrame) -> DataFrame:
     up = roots.select("path", F.explode(F.expr("transform(sequence(1, greatest(size(split(path, '/')) - 1, 1)), i -> array_join(slice(split(path, '/'), 1, i), '/'))")).alias("ancestor")).where("ancestor <> path")
     covered = up.join(roots.select(F.col("path").alias("ancestor")), "ancestor").select("path").distinct()
     return roots.select("path").distinct().join(covered, "path", "left_anti")
+
+
+def same_members(a: DataFrame, b: DataFrame, key: str) -> bool:
+    """Whether two sets of keys are equal: no key without its like in the other."""
+    left, right = a.select(key).distinct(), b.select(key).distinct()
+    return left.join(right, key, "left_anti").isEmpty() and right.join(left, key, "left_anti").isEmpty()
+
+
+def scan_events(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """A backup scan's differences as cold file events."""
+    return inventory_diff(previous, current).select("path", F.lit(None).cast("string").alias("old_path"), F.col("change").alias("kind"), F.lit(True).alias("cold"), F.lit(False).alias("is_directory"))

@@ -363,9 +363,36 @@ def operation_edges(spark: SparkSession, d: str) -> DataFrame:
     return derive.operation_edges(ops.select("caller_id", "m.*", "use", "is_declaration", "adds", "file", "line", "column"), star.declarations(spark, d))
 
 
+@query("select 'customer:' || o_custkey as source_id, 'part:' || l_partkey as target_id, 'references' as relation from lineitem join orders on l_orderkey = o_orderkey where l_returnflag <> 'A' and not exists (select 1 from orders i where i.o_orderkey = l_orderkey and i.o_orderstatus = 'P') union all select 'customer:' || o_custkey, 'supplier:' || l_suppkey, 'references' from lineitem join orders on l_orderkey = o_orderkey where l_linestatus = 'O'")
+def name_references(spark: SparkSession, d: str) -> DataFrame:
+    orders = star.table(spark, d, "orders")
+    l = star.table(spark, d, "lineitem").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    names = l.select(F.col("l_orderkey").alias("name_id"), star.ident("customer", "o_custkey").alias("caller_id"), F.when(F.col("l_returnflag") != "A", star.ident("part", "l_partkey")).alias("target_id"), F.when(F.col("l_linestatus") == "O", star.ident("supplier", "l_suppkey")).alias("alias_id"))
+    return derive.name_references(names, orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("name_id")))
+
+
+@query("with ops as (select distinct user_id as tree, case when event_id % 3 = 0 then (event_id % 7)::varchar when event_id % 3 = 1 then (event_id % 7) || '/' || (event_id % 5) else (event_id % 11) || '/x/' || (event_id % 5) end as path from events) select tree, path from ops o where not exists (select 1 from ops p where p.tree = o.tree and p.path <> o.path and starts_with(o.path, p.path || '/'))")
+def operation_roots(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    path = F.when(k % 3 == 0, (k % 7).cast("string")).when(k % 3 == 1, F.concat_ws("/", (k % 7).cast("string"), (k % 5).cast("string"))).otherwise(F.concat((k % 11).cast("string"), F.lit("/x/"), (k % 5).cast("string")))
+    return derive.operation_roots(star.table(spark, d, "events").select(F.col("user_id").alias("tree"), path.alias("path")))
+
+
+@query("select distinct 'part:' || l_partkey as source_id, 'supplier:' || l_suppkey as target_id, 'references' as relation from lineitem union select 'customer:' || c_custkey, 'nation:' || c_nationkey, 'references' from customer")
+def constraint_edges(spark: SparkSession, d: str) -> DataFrame:
+    l = star.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.collect_set(star.ident("supplier", "l_suppkey")).alias("constraints"))
+    c = star.table(spark, d, "customer").select(star.ident("customer", "c_custkey").alias("id"), star.ident("nation", "c_nationkey").alias("target_id"))
+    return derive.constraint_edges(l.select(star.ident("part", "l_partkey").alias("id"), "constraints"), c)
+
+
 # Change detection
 
 
+@query(o.sql([o.INVENTORY], "select coalesce(p.path, c.path) as path, null::varchar as old_path, case when p.path is null then 'created' when c.path is null then 'deleted' else 'changed' end as kind, true as cold, false as is_directory from prev p full join cur c on p.path = c.path where p.path is null or c.path is null or p.length <> c.length or p.sha <> c.sha"))
+def scan_events(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.scan_events(star.inventory(spark, d, "previous"), star.inventory(spark, d, "current"))
+
+
 @query(o.sql([o.INVENTORY], "select coalesce(p.path, c.path) as path, case when p.path is null then 'created' when c.path is null then 'deleted' else 'changed' end as change from prev p full join cur c on p.path = c.path where p.path is null or c.path is null or p.length <> c.length or p.sha <> c.sha"))
 def inventory_diff(spark: SparkSession, d: str) -> DataFrame:
     return incremental.inventory_diff(star.inventory(spark, d, "previous"), star.inventory(spark, d, "current"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrygraph.functions.identity import ancestors
+from quarrygraph.lineage import cut
 from quarrygraph.operators.incremental import nested_roots
 from quarrygraph.plans.request import QueryError
 
@@ -70,7 +71,8 @@ def candidate_rules(rules: DataFrame, forwards: DataFrame, most: int = 32) -> Da
     step = known
     for _ in range(most):
         step = step.withColumnRenamed("item", "upstream").join(forwards.withColumnRenamed("excludes", "more"), "upstream").where(~F.array_contains("way", F.col("item")))
-        step = step.select("item", "glob", F.array_sort(F.array_distinct(F.concat("excludes", "more"))).alias("excludes"), F.concat("way", F.array("item")).alias("way")).persist()
+        step = step.select("item", "glob", F.array_sort(F.array_distinct(F.concat("excludes", "more"))).alias("excludes"), F.concat("way", F.array("item")).alias("way"))
+        step = cut(step)
         if step.isEmpty():
             break
         known = known.unionByName(step)

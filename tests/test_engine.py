@@ -352,3 +352,26 @@ def test_long_chains_are_cut(spark):
     assert derive.closure(chain).where("start = '0'").count() == 20
     refs = chain.selectExpr("source_id as project", "target_id as refers_to")
     assert incremental.reverse_closure(spark.createDataFrame([("20",)], "project string"), refs).count() == 21
+
+
+def test_smaller_rules(spark):
+    m = spark.createDataFrame([("p", "b", 1), ("p", "a", 0)], "pointer_id string, method_id string, position int")
+    assert [tuple(r) for r in derive.first_method(m).collect()] == [("p", "a")]
+    row = spark.range(1).select(derive.event_accessor(F.lit(True), F.lit("add"), F.lit("remove")).alias("e"), derive.dispose_target(F.lit(None).cast("string"), F.lit("i")).alias("d")).first()
+    assert (row.e, row.d) == ("add", "i")
+    k = lambda *x: spark.createDataFrame([(i,) for i in x], "k string")
+    assert incremental.same_members(k("a", "b", "b"), k("b", "a"), "k") and not incremental.same_members(k("a"), k("a", "b"), "k")
+
+
+def test_progress_lines():
+    import io
+
+    from quarrygraph.plans.progress import Progress
+
+    now, out = [0.0], io.StringIO()
+    p = Progress(out, lambda: now[0])
+    for t, done in ((0, 0), (0.5, 1), (1.0, 1), (2.0, 1), (11.0, 1), (61.5, 2)):
+        now[0] = t
+        p.line("extract", done, 3)
+    p.summary(2, 1)
+    assert out.getvalue().splitlines() == ["[00:00] extract 0/3", "[00:01] extract 1/3", "[00:11] extract 1/3", "[01:01] extract 2/3", "done in 01:01: 2 extracted, 1 reused"]
