@@ -31,6 +31,8 @@ from quarrygraph.llm.common import ROLL1, ROLL2, column, doc_chunks, ids, materi
 #: Bits of a position in a sort key; a segment has fewer symbols.
 POS = 20
 SEGMENT = 1 << 19
+#: Windows that are settled together.
+AT_ONCE = 400_000
 RUN = "did long, th long, g long, c long, p long, n int, a int"
 
 
@@ -46,8 +48,12 @@ class Kind:
     #: The symbols that ``settle`` compares, of one document's bytes.
     content: Callable[[np.ndarray], np.ndarray]
     dtype: type
-    #: Beyond so many differing contexts of one minimiser, the prefix is made the whole window.
-    group_bound: int = 2048
+    #: Bytes of contexts that one group may hold in memory; a minimiser with more contexts takes the whole window as its prefix.
+    group_bytes: int = 16 << 20
+
+    @property
+    def group_bound(self) -> int:
+        return self.group_bytes // (2 * self.length * np.dtype(self.dtype).itemsize)
 
 
 def slide_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -194,13 +200,13 @@ def repeated_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     release(spark)
     small = contexts.where(F.col("k") <= kind.group_bound).repartition("g").sortWithinPartitions("g").mapInArrow(_settled(kind), "did long, th long, s long, e long")
     large = contexts.where(F.col("k") > kind.group_bound).mapInArrow(_window_rows(kind), "w1 long, w2 long, did long, th long, p long, m long")
-    again = large.groupBy("w1", "w2").agg(F.sum("m").alias("seen")).where("seen > 1").select("w1", "w2")
+    again = materialize(large.groupBy("w1", "w2").agg(F.sum("m").alias("seen")).where("seen > 1").select("w1", "w2"))
     big = large.where("m = 1").join(again, ["w1", "w2"]).selectExpr("did", "th", "p as s", f"p + {kind.length} as e")
     multi = content.where("m > 1").select("g", "c")
     full = hits.where("alike").select("did", "th", "p", "n").unionByName(mixed.join(multi, ["g", "c"]).select("did", "th", "p", "n"))
     full = full.selectExpr("did", "th", "p as s", f"p + n + {kind.length - 1} as e")
     found = materialize(full.unionByName(small).unionByName(big).groupBy("did", "th").agg(F.collect_set(F.struct("s", "e")).alias("spans")))
-    release(spark, hits, content, contexts)
+    release(spark, hits, content, contexts, again)
     return found
 
 
@@ -233,11 +239,23 @@ def _settled(kind: Kind) -> Callable:
         for t in whole_groups(batches, ["g"], 4096):
             n, a, g = (t[x].to_numpy() for x in ("n", "a", "g"))
             each = [np.frombuffer(x, kind.dtype) for x in t["ctx"].to_pylist()]
-            first = np.cumsum([0, *map(len, each)])[:-1]
+            sym, first = np.concatenate(each), np.cumsum([0, *map(len, each)])[:-1]
             row, j = np.repeat(np.arange(len(n)), n), spans(n)
-            # The prefix from a window's start to the end of its minimiser: the minimiser and where it is.
-            _, key = np.unique(np.stack([g[row], a[row] - j], 1), axis=0, return_inverse=True)
-            hit = kind.settle(np.concatenate(each), first[row] + j, key.ravel(), kind.length)
+            # The prefix from a window's start to the end of its minimiser: the minimiser and how far off it is.
+            off = a[row] - j
+            key = np.cumsum(np.append(0, g[1:] != g[:-1]))[row] * (kind.length + 1) + off
+            hit = np.zeros(len(row), bool)
+            order = np.argsort(off, kind="stable")
+            sorted_off = off[order]
+            i = 0
+            while i < len(order):  # equal windows have equal offsets, so offsets may be settled apart
+                k = min(i + AT_ONCE, len(order))
+                if k < len(order):
+                    k = int(np.searchsorted(sorted_off, sorted_off[k]))
+                    k = k if k > i else int(np.searchsorted(sorted_off, sorted_off[i], "right"))
+                take = order[i:k]
+                hit[take] = kind.settle(sym, first[row[take]] + j[take], key[take], kind.length)
+                i = k
             hit &= (t["m"].to_numpy() == 1)[row]
             if not hit.any():
                 continue
