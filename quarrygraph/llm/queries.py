@@ -95,5 +95,20 @@ from w left join kept using (doc_id)
 """
 
 
+#: Jaccard join: all pairs with a common 5-gram, and the components of those that reach 0.8.
+_OP5 = r"""
+with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as s from w),
+n as (select doc_id, count(*) as n, md5(string_agg(s, chr(31) order by s)) as whole from g group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as k from g a join g b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+link as (select x, y from pairs join n a on a.doc_id = x join n b on b.doc_id = y where 5 * k >= 4 * (a.n + b.n - k)),
+reach as (select doc_id, doc_id as r from documents union select reach.doc_id, y from reach join link on x = r),
+class as (select doc_id, min(r) as class_id from reach group by doc_id),
+copies as (select whole, min(doc_id) as copies_id, count(*) as n_copies from n group by whole)
+select d.doc_id, class_id, (select count(*) from link where x = d.doc_id)::bigint as n_links, coalesce(copies_id, d.doc_id) as copies_id, coalesce(n_copies, 1)::bigint as n_copies, coalesce(n, 0)::bigint as n_grams
+from documents d join class using (doc_id) left join n using (doc_id) left join copies using (whole)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op4_exact_dedup": _OP4, "op8_substring_dedup": _OP8}
+    return {"op1_line_dedup": _OP1, "op4_exact_dedup": _OP4, "op5_ngram_jaccard_join": _OP5, "op8_substring_dedup": _OP8}
