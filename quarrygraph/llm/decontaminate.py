@@ -28,7 +28,7 @@ from quarrygraph.llm.windows import text_hashes
 
 WINDOW, COVERAGE = 8, 0.8
 #: Hashes of benchmark windows that are broadcast as a filter before the join; with more, all windows are joined.
-FILTER_HASHES = 2_000_000
+FILTER_HASHES = 500_000
 #: Units of measure.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "ton", "tons", "ounce", "ounces", "pound", "pounds", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "cent", "cents", "euro", "euros", "degree", "degrees", "mph", "kmh", "watt", "watts", "volt", "volts", "joule", "joules", "hz", "kb", "mb", "gb", "tb")
 #: Placeholders of numbers, names and units.
