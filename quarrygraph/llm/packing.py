@@ -14,9 +14,13 @@ table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +41,62 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_loaded: dict[str, object] = {}
+#: How byte-level BPE splits a text, and the characters for which all regular-expression engines agree about that (white
+#: space and printable ASCII, and the letters and signs from U+00A1 up to Cyrillic).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa1-\u052f]*")
+#: Characters of a run without white space from which the tokenizer itself is asked.
+LONG_RUN = re.compile(r"\S{5000}")
 
 
-def _tokenizer(path: str):
-    if path not in _loaded:
+def byte_alphabet() -> dict[str, int]:
+    """The character by which byte-level vocabularies write each byte: itself if printable, else the next one from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class Encoder:
+    """Ids of a tokenizer file. A plain byte-level BPE whose merges are in the order of its ids is also run by a faster library, which gives
+    the same ids for texts of ``PLAIN`` characters without special tokens; all other texts go to the tokenizer itself."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.quick, self.special = None, ()
+        spec = json.loads(Path(path).read_text())
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        odd = spec.get("normalizer") or spec.get("post_processor") or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        if model.get("type") == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not odd:
+            self.special = tuple(t["content"] for t in spec.get("added_tokens", []))
+            byte, vocab = byte_alphabet(), model["vocab"]
+            merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+            if all(vocab.get(x + y) == 256 + i for i, (x, y) in enumerate(merged)):
+                import tiktoken
+
+                ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in self.special}
+                self.quick = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, texts_: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts_)
+        rest = []
+        for i, t in enumerate(texts_):
+            if self.quick is not None and PLAIN.fullmatch(t) and not any(s in t for s in self.special) and not LONG_RUN.search(t):
+                out[i] = self.quick.encode_to_numpy(t, allowed_special=set(), disallowed_special=())
+            else:
+                rest.append(i)
+        for i, e in zip(rest, self.whole.encode_batch_fast([texts_[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
+        return out
+
+
+_loaded: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _loaded:
+        _loaded[path] = Encoder(path)
     return _loaded[path]
 
 
@@ -52,10 +104,8 @@ def pieces_of(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> Da
     """(doc_id, piece, start, length, ids_crc32, part, local): ``local`` numbers a task's pieces of one length."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t, part = _tokenizer(tokenizer), TaskContext.get().partitionId()
+        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             docs_, texts_ = column(b, "doc_id").to_pylist(), [x or "" for x in column(b, "text").to_pylist()]
@@ -66,8 +116,8 @@ def pieces_of(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> Da
                     size += len(texts_[j])
                     j += 1
                 out: list[tuple] = []
-                for doc, enc in zip(docs_[i:j], t.encode_batch_fast(texts_[i:j], add_special_tokens=False), strict=True):
-                    ids = np.append(np.array(enc.ids, "<u4"), np.array([end_id], "<u4"))
+                for doc, got in zip(docs_[i:j], encoder.ids(texts_[i:j]), strict=True):
+                    ids = np.append(got, np.uint32(end_id)).astype("<u4")
                     raw, first = memoryview(ids.tobytes()), len(ids) % capacity or min(capacity, len(ids))
                     edge = [0, *range(first, len(ids) + 1, capacity)]
                     for k, (s, e) in enumerate(zip(edge, edge[1:], strict=False)):
