@@ -175,7 +175,7 @@ def jaccard_links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     band = classes.where("bands is not null").select("cid", "bands").mapInArrow(_exploded, "band long, cid long")
     buckets = materialize(band.groupBy("band").agg(F.count("*").alias("m"), F.min("cid").alias("hub")).where("m > 1").select("band", "hub"))
     ties = band.join(buckets, "band").selectExpr("cid as u", "hub as v")
-    candidates = materialize(components(ties.distinct()).withColumnRenamed("id", "cid"))
+    candidates = materialize(components(ties).withColumnRenamed("id", "cid"))
     release(spark, buckets)
     sizes = materialize(candidates.groupBy("root").agg(F.count("*").alias("m")).where("m > 1"))
     # Members carry their whole sets to each pair of blocks they are in.
@@ -188,7 +188,7 @@ def jaccard_links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     checked = materialize(dealt.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "cid").mapInArrow(_verified(threshold), "cid long, links long, local long"))
     release(spark, sets, sizes, candidates)
     links = checked.groupBy("cid").agg(F.sum("links").alias("links"))
-    joined = materialize(components(checked.selectExpr("cid as u", "local as v").distinct()).withColumnRenamed("id", "cid"))
+    joined = materialize(components(checked.selectExpr("cid as u", "local as v")).withColumnRenamed("id", "cid"))
     own = classes.select("cid", "hi", "lo", "w", "copies_id", "bands").join(joined, "cid", "left").join(links, "cid", "left").selectExpr("cid", "hi", "lo", "w", "copies_id", "coalesce(root, cid) as root", "coalesce(links, 0) as links")
     own = materialize(own)
     least = materialize(own.groupBy("root").agg(F.min("copies_id").alias("class_id")))

@@ -13,8 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrygraph.llm import block_naming, decontaminate, line_dedup, minhash_join, packing, quality_mil, suffix_array, suffix_tree, tagpath, toxicity
-from quarrygraph.llm.graph import components
+from quarrygraph.llm import block_naming, decontaminate, graph, line_dedup, minhash_join, packing, quality_mil, suffix_array, suffix_tree, tagpath, toxicity
 
 WS = " \t\n\x0b\x0c\r"
 DOCS = "doc_id long, text string"
@@ -263,7 +262,9 @@ def test_bands_reach_recall():
         minhash_join.bands_for(0.01, 0.9999, 4)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 4])
+def test_components(spark, monkeypatch, bound):
+    monkeypatch.setattr(graph, "TASK_EDGES", bound)
     r = random.Random(4)
     edges = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(60)] + [(200, 201), (300, 300)] + [(i, i + 1) for i in range(400, 440)]
     label = {x: x for e in edges for x in e}
@@ -274,7 +275,7 @@ def test_components(spark):
             m = min(label[u], label[v])
             changed |= label[u] != m or label[v] != m
             label[u] = label[v] = m
-    assert dict(tuple(x) for x in components(spark.createDataFrame(edges, "u long, v long")).collect()) == label
+    assert dict(tuple(x) for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()) == label
 
 
 def test_decontamination(spark):
@@ -420,3 +421,16 @@ def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "plain text only"), (4, "u", "<p>a<"), (5, "u", "<div>" * 3000 + "deep, text."), (6, "u", "<script>x"), (6, "u", "<script>x")]
     got = sorted((r.page_id, r.text, r.n_chars) for r in tagpath.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect())
     assert [(i, t) for i, t, _ in got] == [(1, ""), (2, ""), (3, "plain text only"), (4, "a<"), (5, "deep, text."), (6, ""), (6, "")] and all(n == len(t) for _, t, n in got)
+
+
+def test_encoder_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    t, e = Tokenizer.from_file(packing.default_tokenizer()), packing.Encoder(packing.default_tokenizer())
+    assert e.quick is not None
+    r = random.Random(6)
+    alphabet = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(161, 0x530)]]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 200))) for _ in range(300)]
+    texts += [" ".join("".join(r.choice("thenaiosr'é ") for _ in range(r.randint(1, 9))) for _ in range(100)) for _ in range(100)]
+    texts += ["", " ", "a  b\n\n c \t", "<|endoftext|> x", "日本語 text", "a b\u0085c d", "x" * 6000, "it's I'LL we'll 123abc ½ ²", "\x00\x1f\x1c"]
+    assert [x.tolist() for x in e.ids(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
