@@ -113,7 +113,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def linked(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs of sets reach the threshold; ``side`` 0 and 1: only pairs across (all 0: all pairs)."""
-    m, size = len(sets), np.array([len(s) for s in sets], np.float32)
+    m, size = len(sets), np.array([len(s) for s in sets], np.float64)
     owner = np.repeat(np.arange(m), size.astype(int))
     _, col, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = df[col] > 1
@@ -126,7 +126,8 @@ def linked(sets: list[np.ndarray], side: np.ndarray, threshold: float) -> np.nda
         x = np.zeros((m, 4096), np.float32)
         x[owner[s:e], col[s:e] - c] = 1
         common += x @ x.T
-    adj = common >= np.float32(threshold) * (size[:, None] + size - common) - np.float32(1e-3)
+    common = common.astype(np.float64)  # counts are whole and exact so far
+    adj = common >= threshold * (size[:, None] + size - common) - 1e-9
     np.fill_diagonal(adj, False)
     if side.any():
         adj &= side[:, None] != side
