@@ -1,20 +1,23 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become a template: numbers, names (capitalised words inside a sentence) and units (after a number) turn into typed
-placeholders, all else is lower-cased. Windows of ``WINDOW`` template words of documents are hash-joined with those of benchmark
-items; at one alignment of a document with an item, slots must agree: a value of the item always stands for the same
-value of the document and the other way round. Items most of whose windows are found in consistent alignments are in the document, verbatim
-or re-parameterised.
+Words become a template: numbers, names (capitalised words inside a sentence) and units (after a
+number) turn into typed placeholders, all else is lower-cased. Windows of
+``SEED_WORDS`` template words of documents are hash-joined with those of benchmark items. Windows with more slots than words are joined by
+their own words, and as a template where a window of ``WINDOW`` words holds a word at least. In a run of windows at one alignment,
+values map one to one. Items of whose words a share of ``COVERAGE`` is in
+consistent windows at one place are in the document: verbatim, lightly edited or re-parameterised.
 
-Result: one row for each document and item found, with the share of the item's windows. Clean documents have no row.
+Result: one row for each document and item found, with the share of the item's words, and its windows. Clean documents have no row.
 
 Defined results: null and empty texts match nothing; an item of fewer words than a window is one window of all its words; items
-without any word never match; windows with more slots than words are ignored on both sides; rows that repeat a doc_id
-are looked at apart and reported once each; empty tables give an empty table; other columns are ignored.
+without any word never match; an item of nothing but slots is found verbatim only, and stretches without a word in reach of a window
+do not count in other items; rows that repeat a doc_id are looked at apart and reported once each; empty tables give an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,10 @@ from quarrygraph.llm.common import ROLL1, ROLL2, column, doc_chunks, ids, mix, t
 from quarrygraph.llm.toxicity import words_of
 from quarrygraph.llm.windows import text_hashes
 
-WINDOW, COVERAGE = 8, 0.8
+#: Words of a window with many slots, words of all others, and the share of an item's words that must be found.
+WINDOW, SEED_WORDS, COVERAGE = 8, 8, 0.8
+SEED, RAW, LONG = range(3)
+FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_found", pa.int64()), ("n_windows", pa.int64()), ("exact", pa.bool_()), ("did", pa.int64()), ("th", pa.int64())])
 #: Hashes of benchmark windows that are broadcast as a filter before the join; with more, all windows are joined.
 FILTER_HASHES = 500_000
 #: Units of measure.
@@ -49,12 +55,12 @@ def _hash(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(ROLL1.span(p, start, end) + (end - start).astype(np.uint64))
 
 
-def template(points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template words, own hashes, whether a slot, and the first word of each of the texts that ``off`` bounds."""
+def template(points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template words, own hashes, whether a slot, whether a slot or a word, and the first word of each of the texts that ``off`` bounds."""
     start, end = words_of(points)
     if not len(start):
         z = np.zeros(0, np.uint64)
-        return z, z, np.zeros(0, bool), np.zeros(len(off), np.int64)
+        return z, z, np.zeros(0, bool), np.zeros(0, bool), np.zeros(len(off), np.int64)
     own = _hash(points, start, end)
     first = np.searchsorted(start, off)
     low = np.minimum(points, 65536)
@@ -70,7 +76,7 @@ def template(points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     unit = np.append(False, number[:-1]) & ~head & np.isin(own, u)
     out = own.copy()
     out[number], out[name], out[unit] = NUM, NAME, UNIT
-    return out, own, number | name | unit, first
+    return out, own, number | name | unit, np.zeros(len(out), bool), first
 
 
 _units: list[np.ndarray] = []
@@ -89,59 +95,96 @@ def _points(raw: memoryview, off: np.ndarray, i: int, j: int) -> tuple[np.ndarra
     return np.frombuffer(("\n".join(texts_) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32), at
 
 
-def _windows(word: np.ndarray, slot: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of windows of n words within [lo, hi) with no more slots than words."""
+def _windows(word: np.ndarray, own: np.ndarray, slot: np.ndarray, either: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, hashes and slots (a row of n for each) of the windows of n words within [lo, hi) that are of a kind.
+
+    SEED: windows with no more slots than words; RAW: those with more, by their own words; LONG: windows with so many slots that seeds
+    miss some, but not without any word. A window has a hash for each reading of its words that may be slots.
+    """
     count = np.maximum(hi - lo - n + 1, 0)
     p = np.repeat(lo, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     if not len(p):
-        return p, np.zeros(0, np.uint64)
-    s = np.append(0, np.cumsum(slot))
-    p = p[2 * (s[p + n] - s[p]) <= n]
-    pre = ROLL2.prefix(word)
-    return p, mix(ROLL2.span(pre, p, p + n) + np.uint64(n))
+        return p, np.zeros(0, np.uint64), np.zeros((0, n), bool)
+    s, a = np.append(0, np.cumsum(slot)), np.append(0, np.cumsum(either))
+    sure, maybe = s[p + n] - s[p], a[p + n] - a[p]
+    if kind == RAW:
+        p = p[2 * (sure + maybe) > n]
+        return p, mix(ROLL2.span(ROLL2.prefix(own), p, p + n) + np.uint64(n + 1000)), np.zeros((len(p), n), bool)
+    few, most = (0, n // 2) if kind == SEED else (SEED_WORDS // 2 + 1, n - 1)
+    could = (sure <= most) & (sure + maybe >= few)
+    p, sure, maybe = p[could], sure[could], maybe[could]
+    h = ROLL2.span(ROLL2.prefix(word), p, p + n)
+    slots, eithers = (np.lib.stride_tricks.sliding_window_view(x, n) for x in (slot, either))
+    up = ROLL2.powers(n)[0]
+    out = [(p[ok], h[ok], slots[p[ok]]) for ok in [sure >= few]]
+    for k in range(1, int(maybe.max(initial=0)) + 1):
+        rows = np.flatnonzero(maybe == k)
+        if not len(rows):
+            continue
+        at = np.nonzero(eithers[p[rows]])[1].reshape(-1, k)
+        swap = (NAME - word[p[rows][:, None] + at]) * up[at]
+        for mask in range(1, 1 << k):
+            bits = [i for i in range(k) if mask >> i & 1]
+            ok = (sure[rows] + len(bits) >= few) & (sure[rows] + len(bits) <= most)
+            if not ok.any():
+                continue
+            r = rows[ok]
+            m = slots[p[r]].copy()
+            for i in bits:
+                m[np.arange(len(r)), at[ok, i]] = True
+            out.append((p[r], h[r] + swap[ok][:, bits].sum(1, dtype=np.uint64), m))
+    p, h, m = (np.concatenate(x) for x in zip(*out, strict=True))
+    return p, mix(h + np.uint64(n)), m
+
+
+def _lists(value: np.ndarray, p: np.ndarray, mask: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+    """For each window, the values of its slots by place; order is enough as templates are equal."""
+    if not len(p):
+        return pa.array([], pa.list_(kind))
+    v = np.lib.stride_tricks.sliding_window_view(value, n)[p][mask]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(mask.sum(1))), pa.int32()), pa.array(v, kind))
 
 
-def _slots(own: np.ndarray, slot: np.ndarray, p: np.ndarray, n: int) -> pa.Array:
-    """For each window, the own hashes of its slots by place: (place << 56) is not kept, order is enough as templates are equal."""
-    if not len(p):
-        return pa.array([], pa.list_(pa.int64()))
-    inside = np.lib.stride_tricks.sliding_window_view(slot, n)[p]
-    value = np.lib.stride_tricks.sliding_window_view(own, n)[p][inside]
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(inside.sum(1))), pa.int32()), pa.array(value.view(np.int64)))
+ITEM = "item_id long, ih long, words long, counted long, n_windows long, size long, kind long, h long, ipos long, need long, islots array<long>, isure array<boolean>"
 
 
 def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item_id, n_windows, size, h, ipos, islots) of all items; a first word that could be a name counts as either."""
+    """Windows of all items; a first word that could be a name counts as either. ``need``: bits of the words of a window that count."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = utf8(column(b, "text"))
+            hashes = text_hashes(b)
             for i, item in enumerate(column(b, "item_id").to_pylist()):
                 points, at = _points(memoryview(data), off, i, i + 1)
-                word, own, slot, first = template(points, at)
-                n = len(word)
-                if not n:
+                word, own, slot, either, first = template(points, at)
+                words = len(word)
+                if not words:
                     continue
-                size = min(window, n)
-                lo, hi = np.array([0]), np.array([n])
-                p, h = _windows(word, slot, lo, hi, size)
-                every = len(p)
-                s = _slots(own, slot, p, size)
-                if not slot[0]:
-                    word2, slot2 = word.copy(), slot.copy()
-                    word2[0], slot2[0] = NAME, True
-                    p2, h2 = _windows(word2, slot2, lo, np.minimum(hi, size), size)
-                    s = pa.concat_arrays([s, _slots(own, slot2, p2, size)])
-                    p, h = np.append(p, p2), np.append(h, h2)
-                k = len(p)
-                yield pa.record_batch([pa.array([item] * k, pa.int64()), pa.array(np.full(k, every)), pa.array(np.full(k, size)), pa.array(h.view(np.int64)), pa.array(p.astype(np.int64)), s], names=["item_id", "n_windows", "size", "h", "ipos", "islots"])
+                either[0] = not slot[0]
+                lo, hi = np.array([0]), np.array([words])
+                seed, long = min(SEED_WORDS, window, words), min(window, words)
+                made = [(n, kind, *_windows(word, own, slot, either, lo, hi, n, kind)) for n, kind in ((seed, SEED), (seed, RAW), (long, LONG))]
+                # Where no window has a word, any numbers and names would do: such places count only if there are no others.
+                counts = np.zeros(words, bool)
+                for n, kind, p, _, _ in made:
+                    if kind != RAW:
+                        counts[(p[:, None] + np.arange(n)).ravel()] = True
+                if not counts.any():
+                    counts[:] = True
+                for n, kind, p, h, m in made:
+                    k = len(p)
+                    need = (counts[p[:, None] + np.arange(n)] << np.arange(n)).sum(1)
+                    fixed = [pa.array([item] * k, pa.int64()), *(pa.array(np.full(k, v, np.int64)) for v in (hashes[i], words, counts.sum(), words - seed + 1, n, kind))]
+                    own_, sure = _lists(own.view(np.int64), p, m, n, pa.int64()), _lists(~either, p, m, n, pa.bool_())
+                    yield pa.record_batch([*fixed, pa.array(h.view(np.int64)), pa.array(p.astype(np.int64)), pa.array(need.astype(np.int64)), own_, sure], names=[f.split()[0] for f in ITEM.split(", ")])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return items.mapInArrow(rows, "item_id long, n_windows long, size long, h long, ipos long, islots array<long>")
+    return items.mapInArrow(rows, ITEM)
 
 
-def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """(doc_id, did, th, h, dpos, dslots) of all windows of the given sizes whose hash is wanted."""
+def document_windows(docs: DataFrame, sizes: list[tuple[int, int]], wanted: np.ndarray | None) -> DataFrame:
+    """(doc_id, did, th, h, dpos, dslots) of all windows of the given sizes and kinds whose hash is wanted."""
     spark: SparkSession = docs.sparkSession
     held = spark.sparkContext.broadcast(wanted)
 
@@ -155,39 +198,87 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
             data, off = utf8(column(b, "text"))
             for i, j in doc_chunks(off, 1 << 19):
                 points, at = _points(memoryview(data), off, i, j)
-                word, own, slot, first = template(points, at)
-                for n in sizes:
-                    p, h = _windows(word, slot, first[:-1], first[1:], n)
+                word, own, slot, either, first = template(points, at)
+                for n, kind in sizes:
+                    p, h, m = _windows(word, own, slot, either, first[:-1], first[1:], n, kind)
                     if want is not None:
                         ok = np.flatnonzero(maybe[h >> np.uint64(44)])
                         ok = ok[np.isin(h[ok], want)]
-                        p, h = p[ok], h[ok]
+                        p, h, m = p[ok], h[ok], m[ok]
                     if not len(p):
                         continue
                     d = np.searchsorted(first, p, "right") - 1
-                    yield pa.record_batch([column(b, "doc_id").take(pa.array(i + d)), pa.array(did[i + d]), pa.array(th[i + d]), pa.array(h.view(np.int64)), pa.array(p - first[d]), _slots(own, slot, p, n)], names=["doc_id", "did", "th", "h", "dpos", "dslots"])
+                    yield pa.record_batch([column(b, "doc_id").take(pa.array(i + d)), pa.array(did[i + d]), pa.array(th[i + d]), pa.array(h.view(np.int64)), pa.array(p - first[d]), _lists(own.view(np.int64), p, m, n, pa.int64())], names=["doc_id", "did", "th", "h", "dpos", "dslots"])
 
     return docs.mapInArrow(rows, "doc_id long, did long, th long, h long, dpos long, dslots array<long>")
 
 
+def _agreeing(run: list[dict]) -> list[dict]:
+    """Windows of a run if their slots map one to one."""
+    pairs = {x for w in run for x in zip(w["islots"], w["dslots"], strict=True)}
+    return run if len({i for i, _ in pairs}) == len(pairs) == len({d for _, d in pairs}) else []
+
+
+def judge(words: int, counted: int, seed: int, rows: list[dict], coverage: float) -> tuple[float, int, bool] | None:
+    """(share of the item's words, windows found, whether no slot differs) at the best place of a document, or None.
+
+    Windows belong to one place if their alignments differ by at most half the item's length, as left-out or added words shift them.
+    """
+    by_delta: dict[int, list[dict]] = defaultdict(list)
+    for r in rows:
+        by_delta[r["dpos"] - r["ipos"]].append(r)
+    places: dict[int, list[dict]] = defaultdict(list)
+    for delta, found in by_delta.items():
+        found.sort(key=lambda r: r["ipos"])
+        run: list[dict] = []
+        reach = -1
+        good: list[dict] = []
+        for r in found:
+            if run and r["ipos"] > reach:
+                good += _agreeing(run)
+                run = []
+            reach = max(reach, r["ipos"] + r["size"]) if run else r["ipos"] + r["size"]
+            run.append(r)
+        good += _agreeing(run)
+        for place in (2 * (delta // words), 2 * ((delta + words // 2) // words) + 1):
+            places[place] += good
+    best = None
+    for good in places.values():
+        held = {r["ipos"] + k for r in good for k in range(r["size"]) if r["need"] >> k & 1}
+        if len(held) < coverage * counted:
+            continue
+        exact = all(i == d for r in good for i, d in zip(r["islots"], r["dslots"], strict=True))
+        now = (len(held) / counted, len({r["ipos"] for r in good if r["size"] == seed}), exact)
+        best = now if best is None else (max(best[0], now[0]), max(best[1], now[1]), best[2] or exact)
+    return best
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, coverage, n_found, n_windows, exact, did, th): items found in documents; ``exact`` if no slot differs."""
     tune(docs.sparkSession)
     items = item_windows(benchmark, window)
-    sizes = [r["size"] for r in items.select("size").distinct().orderBy("size").limit(window).collect()]  # window rows at most
-    if not sizes:
-        sizes = [window]
+    sizes = [(r["size"], r["kind"]) for r in items.select("size", "kind").distinct().orderBy("size", "kind").limit(3 * window).collect()]  # three kinds a size at most
     hashes = [r["h"] for r in items.select("h").distinct().limit(FILTER_HASHES + 1).collect()]
     wanted = np.unique(np.array(hashes, np.int64).view(np.uint64)) if len(hashes) <= FILTER_HASHES else None
     found = document_windows(texts(docs), sizes, wanted).join(items, "h")
-    at = ["doc_id", "did", "th", "item_id", "n_windows"]
-    pair = F.explode_outer(F.arrays_zip(F.col("islots").alias("i"), F.col("dslots").alias("d")))
-    # An alignment's slots agree if values map one to one.
-    slots = found.withColumn("delta", F.expr("dpos - ipos")).withColumn("s", pair).select(*at, "delta", "ipos", F.col("s.i").alias("i"), F.col("s.d").alias("d"))
-    values = slots.groupBy(*at, "delta", "i", "d").agg(F.collect_set("ipos").alias("at"))
-    each = values.groupBy(*at, "delta").agg(F.flatten(F.collect_set("at")).alias("at"), (F.count("i") == F.count_distinct("i")).alias("one"), (F.count("d") == F.count_distinct("d")).alias("back"), F.max(F.coalesce(F.col("i") != F.col("d"), F.lit(False))).alias("differs"))
-    whole = each.where("one and back").groupBy(*at).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_found"), (~F.min("differs")).alias("exact"))
-    return whole.where(F.col("n_found") >= F.col("n_windows") * coverage).select("doc_id", "item_id", (F.col("n_found") / F.col("n_windows")).alias("coverage"), "n_found", "n_windows", "exact", "did", "th")
+    at = ["doc_id", "did", "th", "item_id", "ih", "words", "counted", "n_windows"]
+    hit = F.struct("ipos", "dpos", "size", "need", "islots", "isure", "dslots")
+    pairs = found.groupBy(*at).agg(F.collect_set(hit).alias("hits"))
+    # Fewer windows than these cannot hold enough words.
+    pairs = pairs.where(F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["size"]) >= F.col("counted") * coverage)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in range(b.num_rows):
+                doc, did, th, item, _, words, counted, n, hits = (c[r].as_py() for c in b.columns)
+                got = judge(words, counted, words - n + 1, hits, coverage)
+                if got:
+                    out.append((doc, item, got[0], got[1], n, got[2], did, th))
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(FOUND.names, o, strict=True)) for o in out], schema=FOUND)
+
+    return pairs.mapInArrow(rows, "doc_id long, item_id long, coverage double, n_found long, n_windows long, exact boolean, did long, th long")
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, **params: float) -> DataFrame:

@@ -278,6 +278,29 @@ def test_components(spark, monkeypatch, bound):
     assert dict(tuple(x) for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()) == label
 
 
+SLOT_HEAVY = "Solve 12 + 7 = 19, 5 * 3 = 15"
+TABLE = "12 7 19 5 3 15 8 4 11 2"
+
+
+@pytest.mark.parametrize(
+    ("item", "copy", "found"),
+    [
+        (SLOT_HEAVY, SLOT_HEAVY, True),
+        (SLOT_HEAVY, "Solve 14 + 9 = 23, 6 * 2 = 12", True),
+        (SLOT_HEAVY, "Pay 14 + 9 = 23, 6 * 2 = 12", False),
+        (TABLE, TABLE, True),
+        (TABLE, "3 9 1 4 6 8 2 5 7 10", False),
+        ("we met Alice, Bob, Carol, Dave, Erin, Frank", "we met Alice, Bob, Carol, Dave, Erin, Frank", True),
+        ("she bought 5 red pens and 5 blue pens for the whole class", "she bought 3 red pens and 4 blue pens for the whole class", False),
+    ],
+)
+def test_decontamination_of_whole_items(spark, item, copy, found):
+    filler = "some quite different words that say nothing at all about it. " * 3
+    docs = spark.createDataFrame([(1, f"{filler}\n{copy}. {filler}"), (2, filler)], DOCS)
+    got = decontaminate.leaks(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 5)] * found
+
+
 def test_decontamination(spark):
     item = "Alice sold 48 clips in April, and then she sold half as many clips in May. How far did Alice walk, 12 km or more, before she came home again?"
     other = "A train leaves the station slowly while seven birds sit quietly on the long grey wire above it."
