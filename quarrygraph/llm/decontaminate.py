@@ -30,7 +30,7 @@ from quarrygraph.llm.toxicity import words_of
 from quarrygraph.llm.windows import text_hashes
 
 #: Words of a window with many slots, words of all others, and the share of an item's words that must be found.
-WINDOW, SEED_WORDS, COVERAGE = 8, 8, 0.8
+WINDOW, SEED_WORDS, COVERAGE = 8, 5, 0.6
 SEED, RAW, LONG = range(3)
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_found", pa.int64()), ("n_windows", pa.int64()), ("exact", pa.bool_()), ("did", pa.int64()), ("th", pa.int64())])
 #: Hashes of benchmark windows that are broadcast as a filter before the join; with more, all windows are joined.

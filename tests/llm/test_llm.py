@@ -280,6 +280,7 @@ def test_components(spark, monkeypatch, bound):
 
 SLOT_HEAVY = "Solve 12 + 7 = 19, 5 * 3 = 15"
 TABLE = "12 7 19 5 3 15 8 4 11 2"
+STORY = "a farmer drove six old cows along the narrow river path until the evening rain began to fall on them"
 
 
 @pytest.mark.parametrize(
@@ -291,6 +292,10 @@ TABLE = "12 7 19 5 3 15 8 4 11 2"
         (TABLE, TABLE, True),
         (TABLE, "3 9 1 4 6 8 2 5 7 10", False),
         ("we met Alice, Bob, Carol, Dave, Erin, Frank", "we met Alice, Bob, Carol, Dave, Erin, Frank", True),
+        (STORY, STORY.replace("narrow", "muddy"), True),
+        (STORY, " ".join(STORY.split()[:15]), True),
+        (STORY, " ".join(STORY.split()[:5] + STORY.split()[9:]), True),
+        (STORY, " ".join(STORY.split()[:8]), False),
         ("she bought 5 red pens and 5 blue pens for the whole class", "she bought 3 red pens and 4 blue pens for the whole class", False),
     ],
 )
