@@ -1,10 +1,10 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become a template: numbers, names (capitalised words inside a sentence) and units (after a
-number) turn into typed placeholders, all else is lower-cased. Windows of
+Words become a template: numbers (with their separators), names (runs of capitalised words inside a sentence) and units (after a
+number) turn into typed placeholders, all else is lower-cased; a capitalised word that opens a sentence is read both ways. Windows of
 ``SEED_WORDS`` template words of documents are hash-joined with those of benchmark items. Windows with more slots than words are joined by
-their own words, and as a template where a window of ``WINDOW`` words holds a word at least. In a run of windows at one alignment,
-values map one to one. Items of whose words a share of ``COVERAGE`` is in
+their own words, and as a template where a window of ``WINDOW`` words holds a word at least. In a run of windows at one alignment, a
+value of the item always stands for the same value of the document. Items of whose words a share of ``COVERAGE`` is in
 consistent windows at one place are in the document: verbatim, lightly edited or re-parameterised.
 
 Result: one row for each document and item found, with the share of the item's words, and its windows. Clean documents have no row.
@@ -47,6 +47,10 @@ _FOLD = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 else i for i i
 #: What ends a sentence, so that the next capital is no name.
 _STOP = np.zeros(65537, bool)
 _STOP[[ord(c) for c in ".!?:;\n"]] = True
+#: What may stand between the names of a run, and inside a number.
+_BLANK, _MARK = np.zeros(65537, bool), np.zeros(65537, bool)
+_BLANK[[ord(c) for c in " \t\xa0"]] = True
+_MARK[[ord(c) for c in ".,"]] = True
 
 
 def _hash(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -61,22 +65,34 @@ def template(points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(start):
         z = np.zeros(0, np.uint64)
         return z, z, np.zeros(0, bool), np.zeros(0, bool), np.zeros(len(off), np.int64)
-    own = _hash(points, start, end)
     first = np.searchsorted(start, off)
     low = np.minimum(points, 65536)
     stops = np.append(0, np.cumsum(_STOP[low]))
     lowers = np.append(0, np.cumsum(_LOWER[low]))
+    inks = np.append(0, np.cumsum(~_BLANK[low]))
     head = np.zeros(len(start), bool)
     head[first[:-1][first[:-1] < len(start)]] = True
     before = np.append(0, end[:-1])
     number = _DIGIT[low[start]]
+    shape = _UPPER[low[start]] & ((lowers[end] > lowers[start]) | (end - start == 1))
     inside = ~head & (stops[start] == stops[before])
-    name = _UPPER[low[start]] & inside & ((lowers[end] > lowers[start]) | (end - start == 1))
-    u = _unit_hashes()
-    unit = np.append(False, number[:-1]) & ~head & np.isin(own, u)
+    name = shape & inside
+    # A number with separators is one word, and so is a run of names.
+    digits = np.append(False, number[:-1] & number[1:] & (start[1:] - end[:-1] == 1) & _DIGIT[low[end[:-1] - 1]] & _MARK[low[end[:-1]]])
+    names = np.append(False, name[:-1] & name[1:] & (inks[start[1:]] == inks[end[:-1]])) & ~head
+    part = np.flatnonzero(~((digits & ~head) | names))
+    last = np.append(part[1:], len(start))
+    parts = _hash(points, start, end)
+    many = last - part > 1
+    own = np.where(many & name[part], mix(ROLL2.span(ROLL2.prefix(parts), part, last)), parts[part])
+    own = np.where(many & number[part], _hash(points, start[part], end[last - 1]), own)
+    start, head, number, name, inside, shape = start[part], head[part], number[part], name[part], inside[part], shape[part]
+    first = np.searchsorted(start, off)
+    unit = np.append(False, number[:-1]) & ~head & np.isin(own, _unit_hashes())
     out = own.copy()
     out[number], out[name], out[unit] = NUM, NAME, UNIT
-    return out, own, number | name | unit, np.zeros(len(out), bool), first
+    slot = number | name | unit
+    return out, own, slot, shape & ~inside & ~slot, first
 
 
 _units: list[np.ndarray] = []
@@ -214,9 +230,22 @@ def document_windows(docs: DataFrame, sizes: list[tuple[int, int]], wanted: np.n
 
 
 def _agreeing(run: list[dict]) -> list[dict]:
-    """Windows of a run if their slots map one to one."""
-    pairs = {x for w in run for x in zip(w["islots"], w["dslots"], strict=True)}
-    return run if len({i for i, _ in pairs}) == len(pairs) == len({d for _, d in pairs}) else []
+    """Windows of a run whose slots agree: none if a value of the item stands for two of the document.
+
+    A word that opens a sentence need not be a name: if all places of a value are such, a second value is an edit, and only its windows go.
+    """
+    seen: dict[int, set[int]] = defaultdict(set)
+    firm: set[int] = set()
+    for w in run:
+        for i, d, sure in zip(w["islots"], w["dslots"], w["isure"], strict=True):
+            if sure or i != d:
+                seen[i].add(d)
+            if sure:
+                firm.add(i)
+    torn = {i for i, d in seen.items() if len(d) > 1}
+    if torn & firm:
+        return []
+    return [w for w in run if not any(i in torn and i != d for i, d in zip(w["islots"], w["dslots"], strict=True))]
 
 
 def judge(words: int, counted: int, seed: int, rows: list[dict], coverage: float) -> tuple[float, int, bool] | None:

@@ -296,6 +296,10 @@ STORY = "a farmer drove six old cows along the narrow river path until the eveni
         (STORY, " ".join(STORY.split()[:15]), True),
         (STORY, " ".join(STORY.split()[:5] + STORY.split()[9:]), True),
         (STORY, " ".join(STORY.split()[:8]), False),
+        ("Alice buys 5. Alice eats 2.", "Bob buys 7. Bob eats 3.", True),
+        ("Alice buys 5 apples at the market. Alice eats 2.", "so today Bob buys 7 apples at the market. Bob eats 3.", True),
+        ("the town of Rome paid 950 coins for 3 large ships that year", "the town of New York paid 1,200 coins for 2.5 large ships that year", True),
+        ("she bought 5 red pens and 7 blue pens for the whole class", "she bought 3 red pens and 3 blue pens for the whole class", True),
         ("she bought 5 red pens and 5 blue pens for the whole class", "she bought 3 red pens and 4 blue pens for the whole class", False),
     ],
 )
