@@ -2,8 +2,9 @@
 
 A page's text nodes are grouped by their root-to-leaf tag path. Each path's text length and punctuation per node
 are aggregated, smoothed over neighbouring paths in page order, and fused; paths above the threshold are content. The
-smallest subtree that holds most of the content text is the article, and inside it headings and short paragraphs of
-lower ratio are kept too; paths through elements that say they are something else (navigation, forms, adverts, comments)
+smallest subtree that holds the content text is the article, and inside it headings and short paragraphs of lower ratio are kept
+too. Where an article or main element holds most of the content text, it is the article, and content outside it is kept as well.
+Paths through elements that say they are something else (navigation, forms, adverts, comments)
 or that are mostly links never count.
 
 Defined results: null or empty html, and a page without any text, give an empty text; malformed markup is read as far as it goes
@@ -41,6 +42,8 @@ WORDS = frozenset(
     tags toolbar topbar widget widgets alert discussion reactions rail legal disclaimer outbrain taboola paywall""".split()
 )
 ARTICLE = frozenset("article main".split())
+#: Elements that can hold a whole article.
+BOXES = frozenset("article main div body html center".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
@@ -167,42 +170,51 @@ def extract(html: str | None) -> str:
     content = {k for k, v in zip(paths, fused, strict=True) if v > 0 and v >= ALPHA * fused.max()}
     if not content:
         return ""
-    top = _article(solid, content)
+    tops = _article(solid, content)
     linked = _mostly_links(solid)
     blocks: dict[int, list[str]] = {}
     for t in usable:
-        if (t.at.key in content or _within(t.at, top)) and _within(t.at, top) and id(_block_of(t.at)) not in linked:
+        if (t.at.key in content or _within(t.at, tops)) and id(_block_of(t.at)) not in linked:
             blocks.setdefault(t.block, []).append(t.text)
     lines = (_SPACE.sub(" ", "".join(b)).strip() for b in blocks.values())
     return "\n".join(x for x in lines if x)
 
 
-def _article(solid: list[Text], content: set[str]) -> Node:
-    """The deepest element that holds most of the content text; an article or main element on the way is it."""
+def _article(solid: list[Text], content: set[str]) -> set[int]:
+    """The article or main elements that hold most of the content text, else the deepest element that holds all of it."""
     weight: dict[int, int] = {}
     known: dict[int, Node] = {}
-    total = 0
+    total = inside = 0
+    nearest: set[int] = set()
     for t in solid:
         if t.at.key not in content:
             continue
         total += len(t.text)
         n: Node | None = t.at
+        named = None
         while n is not None:
             weight[id(n)] = weight.get(id(n), 0) + len(t.text)
             known[id(n)] = n
+            named = named or (n if n.name in ARTICLE else None)
             n = n.parent
-    full = [n for n in known.values() if weight[id(n)] >= SHARE * total]
-    named = [n for n in full if n.name in ARTICLE]
-    if named:
-        return max(named, key=lambda n: n.depth)
-    # Text blocks themselves are no container: one long paragraph is not the article.
-    box = [n for n in full if n.name not in ("p", "span", "b", "i", "em", "strong", "a", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "blockquote", "pre", "code", "font", "u")]
-    return max(box or full, key=lambda n: n.depth)
-
-
-def _within(n: Node | None, top: Node) -> bool:
+        if named:
+            inside += len(t.text)
+            nearest.add(id(named))
+    most = [n for n in known.values() if weight[id(n)] >= SHARE * total and n.name in ARTICLE]
+    if most:
+        return {id(max(most, key=lambda n: n.depth))}
+    if inside >= SHARE * total:
+        return nearest
+    top = max((n for n in known.values() if weight[id(n)] == total), key=lambda n: n.depth)
+    # Text blocks, lists, tables and sections are no container: there are headings and paragraphs beside them.
+    while top.parent is not None and top.name not in BOXES:
+        top = top.parent
+    return {id(top)}
+
+
+def _within(n: Node | None, tops: set[int]) -> bool:
     while n is not None:
-        if n is top:
+        if id(n) in tops:
             return True
         n = n.parent
     return False

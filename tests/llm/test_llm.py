@@ -449,6 +449,22 @@ def test_extraction(body, want):
     assert tagpath.extract(PAGE % body) == want
 
 
+LONG_TEXT = "A first long part, with commas, and with many words, that goes on, and on, until it ends here."
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<div id=c><div>{LONG_TEXT * 4}</div><div>{LONG_TEXT}</div></div>", f"{LONG_TEXT * 4}\n{LONG_TEXT}"),
+        (f"<div><h1>Head</h1><p>Short one.</p><ul><li>{LONG_TEXT}</li><li>{LONG_TEXT}</li></ul><p>After.</p></div>", f"Head\nShort one.\n{LONG_TEXT}\n{LONG_TEXT}\nAfter."),
+        (f"<div><h1>Head</h1><section><p>{LONG_TEXT}</p><p>{LONG_TEXT}</p></section><p>After.</p></div>", f"Head\n{LONG_TEXT}\n{LONG_TEXT}\nAfter."),
+        (f"<article><p>{LONG_TEXT * 4}</p></article><article><p>{LONG_TEXT}</p></article>", f"{LONG_TEXT * 4}\n{LONG_TEXT}"),
+    ],
+)
+def test_extraction_of_all_content(body, want):
+    assert tagpath.extract(f"<html><body>{body}</body></html>") == want
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "plain text only"), (4, "u", "<p>a<"), (5, "u", "<div>" * 3000 + "deep, text."), (6, "u", "<script>x"), (6, "u", "<script>x")]
     got = sorted((r.page_id, r.text, r.n_chars) for r in tagpath.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect())
