@@ -4,8 +4,8 @@ A page's text nodes are grouped by their root-to-leaf tag path. Each path's text
 are aggregated, smoothed over neighbouring paths in page order, and fused; paths above the threshold are content. The
 smallest subtree that holds the content text is the article, and inside it headings and short paragraphs of lower ratio are kept
 too. Where an article or main element holds most of the content text, it is the article, and content outside it is kept as well.
-Paths through elements that say they are something else (navigation, forms, adverts, comments)
-or that are mostly links never count.
+Paths through elements that say they are something else (navigation, forms, adverts, comments) or that are mostly links never count;
+a form, or a class or id, says so only if the element holds neither an article nor the bulk of the page's text.
 
 Defined results: null or empty html, and a page without any text, give an empty text; malformed markup is read as far as it goes
 (unclosed elements end with their parent); rows that repeat give equal rows; an empty table gives an empty table;
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -44,6 +44,7 @@ WORDS = frozenset(
 ARTICLE = frozenset("article main".split())
 #: Elements that can hold a whole article.
 BOXES = frozenset("article main div body html center".split())
+LISTS = frozenset("ul ol dl table".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
@@ -63,7 +64,10 @@ class Node:
     excluded: bool
     link: bool
     depth: int = 0
-    text: int = field(default=0)
+    #: says by its class or as a form that it is not the article
+    doubtful: bool = False
+    #: is an article or main element, and no comment or the like
+    article: bool = False
 
 
 @dataclass
@@ -73,22 +77,56 @@ class Text:
     text: str
 
 
-def _excluded(name: str, attrs: str) -> tuple[bool, str]:
-    """Whether an element says that it is not the article, and its class for the path."""
+def _excluded(name: str, attrs: str) -> tuple[bool, bool, str]:
+    """Whether an element is not the article, whether it only seems so (by a word, or as a form), and its class for the path."""
     if not attrs.strip():
-        return name in NOT_CONTENT, ""
+        return name in NOT_CONTENT and name != "form", name == "form", ""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     cls = found.get("class", "")
     named = {w.lower() for w in _SPLIT.split(f"{cls} {found.get('id', '')}") if w}
+    role = found.get("role", "").lower()
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    bad = name in NOT_CONTENT or hidden or found.get("role", "").lower() in ROLES
-    return bad or name not in ARTICLE and name != "body" and name != "html" and bool(named & WORDS), cls
+    bad = name in NOT_CONTENT and name != "form" or hidden or role in ROLES and role != "form"
+    return bad, name == "form" or role == "form" or name not in ("body", "html") and bool(named & WORDS), cls
+
+
+def _settle(nodes: list[Node], texts: list[Text]) -> None:
+    """Exclude what lies below doubtful elements that hold no article and not the bulk of the text that is no link."""
+    doubtful = [n for n in nodes if n.doubtful and n.name not in ARTICLE]
+    if not doubtful:
+        return
+    total = [0, 0]
+    held: dict[int, list[int]] = {id(n): [0, 0] for n in doubtful}
+    holds: set[int] = set()
+    for t in texts:
+        if t.at.excluded or t.at.link or t.text.isspace():
+            continue
+        above: list[Node] = []
+        n: Node | None = t.at
+        inside = False
+        while n is not None:
+            if id(n) in held:
+                above.append(n)
+                if inside:
+                    holds.add(id(n))
+            inside |= n.article
+            n = n.parent
+        for i in (0, 1) if inside else (0,):
+            total[i] += len(t.text)
+            for x in above:
+                held[id(x)][i] += len(t.text)
+    of = int(total[1] > 0)
+    for n in doubtful:
+        n.excluded |= id(n) not in holds and 2 * held[id(n)][of] <= total[of]
+    for n in nodes:  # parents come first
+        n.excluded |= n.parent is not None and n.parent.excluded
 
 
 def parse(html: str) -> list[Text]:
     """Text nodes in page order, each with the element it is in and the number of its block."""
     root = Node("", "", None, False, False)
     stack, out, block, pos = [root], [], 0, 0
+    nodes: list[Node] = []
 
     def say(raw: str) -> None:
         if raw and not raw.isspace():
@@ -136,11 +174,14 @@ def parse(html: str) -> list[Text]:
                 break
             if stack[i].name in BLOCK and not (name in CLOSES and stack[i].name not in ("ul", "ol", "dl", "table")):
                 break
-        bad, cls = _excluded(name, m[4])
+        bad, doubtful, cls = _excluded(name, m[4])
         up = stack[-1]
-        stack.append(Node(name, f"{up.key}/{name}{'.' + cls if cls else ''}", up, up.excluded or bad, up.link or name == "a", up.depth + 1))
+        stack.append(Node(name, f"{up.key}/{name}{'.' + cls if cls else ''}", up, up.excluded or bad, up.link or name == "a", up.depth + 1, doubtful, name in ARTICLE and not doubtful))
         if len(stack) > 2000:  # deeper nesting is flattened
             stack.pop()
+        else:
+            nodes.append(stack[-1])
+    _settle(nodes, out)
     return out
 
 
@@ -171,7 +212,7 @@ def extract(html: str | None) -> str:
     if not content:
         return ""
     tops = _article(solid, content)
-    linked = _mostly_links(solid)
+    linked = _mostly_links(solid, content)
     blocks: dict[int, list[str]] = {}
     for t in usable:
         if (t.at.key in content or _within(t.at, tops)) and id(_block_of(t.at)) not in linked:
@@ -226,15 +267,44 @@ def _block_of(n: Node) -> Node:
     return n
 
 
-def _mostly_links(solid: list[Text]) -> set[int]:
-    """List items and other small boxes that are nothing but links."""
+def _mostly_links(solid: list[Text], content: set[str]) -> set[int]:
+    """List items and other small boxes that are nothing but links, if they are not the article's.
+
+    The article's are those in an article or main element, and those that stand beside content after its start; of a list
+    with other items, a few words as a link are not.
+    """
     count: dict[int, list[int]] = {}
-    for t in solid:
-        c = count.setdefault(id(_block_of(t.at)), [0, 0])
+    boxes: dict[int, Node] = {}
+    words: dict[int, int] = {}
+    beside: dict[int, int] = {}
+    first: dict[int, int] = {}
+    for i, t in enumerate(solid):
+        b = _block_of(t.at)
+        boxes[id(b)] = b
+        first.setdefault(id(b), i)
+        c = count.setdefault(id(b), [0, 0])
         c[0] += len(t.text)
         c[1] += len(t.text) if t.at.link else 0
-    boxes = {id(_block_of(t.at)): _block_of(t.at) for t in solid}
-    return {k for k, (n, links) in count.items() if links == n and boxes[k].name in ("li", "div", "ul", "ol", "td", "dd")}
+        words[id(b)] = words.get(id(b), 0) + len(t.text.split())
+        if t.at.key in content and b.parent is not None:
+            beside.setdefault(id(b.parent), i)
+    linked = [k for k, (n, links) in count.items() if links == n and boxes[k].name in ("li", "div", "ul", "ol", "td", "dd")]
+    mixed = {id(boxes[k].parent) for k, (n, links) in count.items() if links < n and boxes[k].name == "li"}
+
+    def own(k: int) -> bool:
+        n: Node | None = boxes[k]
+        if n.name == "li" and id(n.parent) in mixed and words[k] < 4:
+            return False
+        outer = n
+        while n is not None:
+            if n.name in ARTICLE:
+                return True
+            if n.name in LISTS:
+                outer = n
+            n = n.parent
+        return beside.get(id(outer.parent), len(solid)) < first[k]
+
+    return {k for k in linked if not own(k)}
 
 
 def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -465,6 +465,22 @@ def test_extraction_of_all_content(body, want):
     assert tagpath.extract(f"<html><body>{body}</body></html>") == want
 
 
+@pytest.mark.parametrize("wrap", ["div class='content-sidebar-wrap'", "div class='page has-sidebar'", "div class=no-comments", "section id=main-with-header", "form id=aspnetForm"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_extraction_within_wrappers(wrap, inner):
+    page = f"<html><body><{wrap}><{inner}><p>{LONG_TEXT}</p></{inner}><div class=sidebar>Side, bar.</div></{wrap.split()[0]}></body></html>"
+    assert tagpath.extract(page) == LONG_TEXT
+
+
+def test_extraction_of_link_lists():
+    refs = "<ul><li><a href=a>First source</a></li><li><a href=b>Second</a></li></ul>"
+    table = "<table><tr><td><a href=c>Name</a></td><td>Value</td></tr></table>"
+    comments = f"<div id=comments><article class=comment><p>{LONG_TEXT}</p></article></div>"
+    want = f"{LONG_TEXT}\nFirst source\nSecond\nName\nValue"
+    assert tagpath.extract(f"<body>{refs}<article><p>{LONG_TEXT}</p>{refs}{table}</article>{comments}</body>") == want
+    assert tagpath.extract(f"<body><div>{refs}</div><div><p>{LONG_TEXT}</p>{refs}{table}</div><div>{refs}</div></body>") == want
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "plain text only"), (4, "u", "<p>a<"), (5, "u", "<div>" * 3000 + "deep, text."), (6, "u", "<script>x"), (6, "u", "<script>x")]
     got = sorted((r.page_id, r.text, r.n_chars) for r in tagpath.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect())
