@@ -15,6 +15,7 @@ columns pass through ``score`` and columns named like its results are replaced.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from quarrygraph.llm.common import column, doc_chunks, texts, tune, utf8
 from quarrygraph.llm.quality_mil import THRESHOLD, fit_rows, held_out
 
-FIT_ROWS, MAX_TERMS = 15_000, 400
+FIT_ROWS = 15_000
+#: Documents a term is in at least, and the greatest chance that a term is in as many toxic ones by accident.
+LEAST, CHANCE = 3, 0.001
 #: Letters of a word from which one edit is allowed.
 FUZZY_FROM = 5
 STEMS = (4, 5, 6)
@@ -204,24 +207,28 @@ def _terms(docs: DataFrame, sample: DataFrame) -> list[tuple[str, bool]]:
     n = {r["y"]: r["count"] for r in total}
     if len(n) < 2:
         return []
-    least = max(3, n[1] // 100)
     counted = one.mapInArrow(rows, "t string, stem boolean, neg long, pos long").groupBy("t", "stem").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    # At least 50 times as frequent among toxic documents.
-    good = counted.where((F.col("pos") >= least) & (F.col("pos") / n[1] > 50 * (F.col("neg") + 0.2) / n[0]))
-    top = good.orderBy(F.desc("pos"), "t", "stem").limit(MAX_TERMS * 4).collect()
-    chosen: list[tuple[str, bool]] = []
+    share = n[1] / (n[0] + n[1])
+    # At least 50 times as frequent among toxic documents, and not by chance.
+    good = counted.where((F.col("pos") >= LEAST) & (F.col("pos") / n[1] > 50 * (F.col("neg") + 0.2) / n[0])).collect()  # the vocabulary of toxic fit rows at most
+    top = [r for r in good if by_chance(r["pos"], r["neg"], share) < CHANCE]
     stems = {r["t"]: r["pos"] for r in top if r["stem"]}
     # The shortest clean stem stands for its extensions, and a word is a stem's work where the stem is much more frequent.
     best_stems = {t for t in stems if not any(t[:k] in stems for k in range(3, len(t)))}
     words = {r["t"]: r["pos"] for r in top if not r["stem"]}
-    for t in sorted(best_stems):
-        inside = [w for w in words if w.startswith(t)]
-        if not inside or stems[t] > 1.5 * max(words[w] for w in inside):
-            chosen.append((t, True))
-    for w in sorted(words, key=lambda w: (-words[w], w)):
-        if not any(w.startswith(t) for t, s in chosen if s):
-            chosen.append((w, False))
-    return chosen[:MAX_TERMS]
+    by_stem: dict[str, list[int]] = defaultdict(list)
+    for w, pos in words.items():
+        for k in STEMS:
+            by_stem[w[:k]].append(pos)
+    chosen = [(t, True) for t in sorted(best_stems) if not by_stem[t] or stems[t] > 1.5 * max(by_stem[t])]
+    # Words of a chosen stem are terms as well, as a whole word has the larger allowance.
+    return chosen + [(w, False) for w in sorted(words)]
+
+
+def by_chance(pos: int, neg: int, share: float) -> float:
+    """The chance that of a term's documents as many are toxic, or more, if the term has nothing to do with it."""
+    n = pos + neg
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + (n - k) * math.log(share) + k * math.log1p(-share)) for k in range(neg + 1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = FIT_ROWS) -> Model | None:

@@ -424,6 +424,21 @@ def test_automaton_is_levenshtein():
         assert got == (want if want < 9 else -1), w
 
 
+def test_rare_terms_of_a_large_lexicon(spark):
+    r = random.Random(3)
+    terms = ["".join(r.choice("bcdfgklmnprstvz") + r.choice("aeiou") for _ in range(5)) for _ in range(600)]
+    rows, labels = [], []
+    for i in range(6000):
+        words = [r.choice(["fox", "tree", "river", "stone", "cloud", "house"]) for _ in range(12)]
+        if i % 3 == 0 and i < 5400:
+            words += terms[i // 3 % 600 : i // 3 % 600 + 4]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0, int(i % 3 == 0 and i < 5400)))
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {t for t, stem in toxicity._terms(docs, labels.selectExpr("doc_id", "toxic as y")) if not stem}
+    assert len(got & set(terms)) > 590
+
+
 def test_quotations_weigh_less():
     m = toxicity.Model(toxicity.Automaton.of([("blockhead", False)]))
     plain = toxicity.hits(m, "well you blockhead you")[0]
