@@ -1,8 +1,9 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie, and context-window scores.
 
-The lexicon is learned from labelled rows: words, and word beginnings (for inflected forms), that occur in toxic documents and
-hardly elsewhere. Its trie is intersected with the Levenshtein automaton of each term's allowance (one edit from
-five letters) and made deterministic, so one table walk per word finds exact and misspelled terms. What stands around a
+The lexicon is learned from labelled rows: all words, and word beginnings (for inflected forms), that occur in toxic documents and
+hardly elsewhere, and not by chance. Its trie is intersected with the Levenshtein automaton of each term's allowance (one edit from
+four letters, two from eight, a swap is one) and made deterministic as texts need it, so one table walk per word finds exact and
+misspelled terms; words with letters drawn out, and words that signs mask or split, are walked too. What stands around a
 hit (quotation marks, reporting words, address) makes its context score, which separates quotation from abuse;
 a logistic model over a document's hits, exact or misspelled, quoted or not, gives the score.
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +32,7 @@ from quarrygraph.llm.quality_mil import THRESHOLD, fit_rows, held_out
 FIT_ROWS = 15_000
 #: Documents a term is in at least, and the greatest chance that a term is in as many toxic ones by accident.
 LEAST, CHANCE = 3, 0.001
-#: Letters of a word from which one edit is allowed.
+#: Letters of a word from which one edit is allowed, where no other allowance is given.
 FUZZY_FROM = 5
 STEMS = (4, 5, 6)
 WINDOW = 60
@@ -50,6 +51,7 @@ def _letters() -> np.ndarray:
 
 
 LETTER = _letters()
+_BLANK = np.array([chr(i).isspace() for i in range(65536)] + [False])
 
 
 def words_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,81 +62,116 @@ def words_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(w[1:-1] & ~w[:-2]), np.flatnonzero(w[1:-1] & ~w[2:]) + 1
 
 
-@dataclass
+def loose(term: str, stem: bool) -> int:
+    """Edits of a term that still are the term: one from four letters and two from eight; beginnings of words need a letter more."""
+    return (len(term) >= 4 + stem) + (len(term) >= 8 + stem)
+
+
 class Automaton:
-    """Deterministic automaton of all terms within their edit allowances."""
+    """Deterministic automaton of all terms within their edit allowances; its states are made when a text first needs them.
 
-    step: np.ndarray
-    symbol: np.ndarray
-    #: of a state: edits of the best term it accepts, or -1
-    accept: np.ndarray
+    A sign inside a word stands for one letter or none.
+    """
 
-    @classmethod
-    def of(cls, terms: list[tuple[str, bool]]) -> Automaton:
-        """terms: (text, whether any ending may follow). State 0 is dead, state 1 the start."""
-        trie: list[dict[str, int]] = [{}]
-        ends: dict[int, bool] = {}
-        allow: list[int] = [0]
+    #: States that are kept; with more, all are made anew, so memory is bounded however many terms there are.
+    MOST = 200_000
+
+    def __init__(self, terms: list[tuple[str, bool]], allowance: Callable[[str, bool], int], swaps: bool):
+        """terms: (text, whether any ending may follow)."""
+        self.swaps = swaps
+        self.trie: list[dict[str, int]] = [{}]
+        self.ends: dict[int, bool] = {}
+        self.allow = [0]
+        self.exact: dict[int, int] = {}
         for t, stem in terms:
-            node, k = 0, int(len(t) >= FUZZY_FROM)
-            allow[0] = max(allow[0], k)
+            node, k = 0, allowance(t, stem)
+            self.allow[0] = max(self.allow[0], k)
             for ch in t:
-                if ch not in trie[node]:
-                    trie[node][ch] = len(trie)
-                    trie.append({})
-                    allow.append(0)
-                node = trie[node][ch]
-                allow[node] = max(allow[node], k)
-            ends[node] = ends.get(node, False) or stem
-        letters = sorted({c for t in trie for c in t})
-        alphabet = [*letters, ""]
-
-        def closed(states: dict[tuple[int, bool], int]) -> tuple:
-            todo = list(states.items())
-            while todo:  # an edit that leaves out a letter of the term
-                (node, free), e = todo.pop()
-                for child in trie[node].values() if not free else ():
-                    if e + 1 <= allow[child] and states.get((child, False), 9) > e + 1:
-                        states[child, False] = e + 1
-                        todo.append(((child, False), e + 1))
-            for (node, free), e in list(states.items()):
-                if ends.get(node) and not free and states.get((node, True), 9) > e:
-                    states[node, True] = e
-            return tuple(sorted(states.items()))
-
-        start = closed({(0, False): 0})
-        number, queue, rows, accept = {(): 0, start: 1}, [start], {0: [0] * len(alphabet)}, {0: -1}
-        while queue:
-            now = queue.pop()
-            row = []
-            for ch in alphabet:
-                nxt: dict[tuple[int, bool], int] = defaultdict(lambda: 9)
-                for (node, free), e in now:
-                    if free:
-                        nxt[node, True] = min(nxt[node, True], e)
-                        continue
-                    if e + 1 <= allow[node]:
-                        nxt[node, False] = min(nxt[node, False], e + 1)
-                    for c, child in trie[node].items():
-                        cost = e + (c != ch)
-                        if cost <= allow[child]:
-                            nxt[child, False] = min(nxt[child, False], cost)
-                key = closed(dict(nxt))
-                if key not in number:
-                    number[key] = len(number)
-                    queue.append(key)
-                row.append(number[key])
-            rows[number[now]] = row
-            best = [e for (node, _), e in now if node in ends]
-            accept[number[now]] = min(best) if best else -1
-        symbol = np.full(65537, len(letters), np.int32)
-        for i, c in enumerate(letters):
-            symbol[min(ord(c), 65536)] = i
-        n = len(number)
-        return cls(np.array([rows[i] for i in range(n)], np.int32), symbol, np.array([accept[i] for i in range(n)], np.int8))
+                if ch not in self.trie[node]:
+                    self.trie[node][ch] = len(self.trie)
+                    self.trie.append({})
+                    self.allow.append(0)
+                node = self.trie[node][ch]
+                self.allow[node] = max(self.allow[node], k)
+            self.ends[node] = self.ends.get(node, False) or stem
+            self.exact[node] = max(self.exact.get(node, 0), k)
+        self.letters = sorted({c for t in self.trie for c in t})
+        self.longest = max((len(t) for t, _ in terms), default=0)
+        n = len(self.letters)
+        self.symbol = np.where(LETTER, n, n + 1).astype(np.int32)
+        for i, c in enumerate(self.letters):
+            self.symbol[min(ord(c), 65536)] = i
+        self._clear()
+
+    @classmethod
+    def of(cls, terms: list[tuple[str, bool]], allowance: Callable[[str, bool], int] | None = None, swaps: bool = False) -> Automaton:
+        return cls(terms, allowance or (lambda t, _: int(len(t) >= FUZZY_FROM)), swaps)
+
+    def _clear(self) -> None:
+        """State 0 is dead, state 1 the start."""
+        start = self._closed({(0, ""): 0})
+        self.sets: list[tuple] = [(), start]
+        self.number = {(): 0, start: 1}
+        self.step = np.full((1024, len(self.letters) + 2), -1, np.int32)
+        self.step[0] = 0
+        self.accept = np.full(1024, -1, np.int8)
+        self.accept[1] = self._accepts(start)
+
+    def _accepts(self, states: tuple) -> int:
+        # A term's own allowance may be less than that of a longer term through its node.
+        return min((e for (node, mode), e in states if mode in ("", "free") and node in self.ends and e <= self.exact[node]), default=-1)
+
+    def _closed(self, states: dict[tuple[int, str], int]) -> tuple:
+        todo = list(states.items())
+        while todo:  # an edit that leaves out a letter of the term
+            (node, mode), e = todo.pop()
+            for child in self.trie[node].values() if not mode else ():
+                if e + 1 <= self.allow[child] and states.get((child, ""), 9) > e + 1:
+                    states[child, ""] = e + 1
+                    todo.append(((child, ""), e + 1))
+        for (node, mode), e in list(states.items()):
+            if not mode and self.ends.get(node) and e <= self.exact[node] and states.get((node, "free"), 9) > e:
+                states[node, "free"] = e
+        return tuple(sorted(states.items()))
+
+    def _next(self, state: int, symbol: int) -> int:
+        n = len(self.letters)
+        ch = self.letters[symbol] if symbol < n else ""
+        sign = symbol == n + 1
+        out: dict[tuple[int, str], int] = {}
+
+        def put(node: int, mode: str, e: int) -> None:
+            if e <= self.allow[node] and out.get((node, mode), 9) > e:
+                out[node, mode] = e
+
+        for (node, mode), e in self.sets[state]:
+            if mode == "free":
+                put(node, mode, e)
+            elif mode:  # the second letter of a swap
+                if ch == mode:
+                    put(node, "", e)
+            else:
+                put(node, "", e + (not sign))
+                for c, child in self.trie[node].items():
+                    put(child, "", e + (c != ch and not sign))
+                    if self.swaps and ch and c != ch and ch in self.trie[child]:
+                        put(self.trie[child][ch], c, e + 1)
+        key = self._closed(out)
+        to = self.number.get(key)
+        if to is None:
+            to = self.number[key] = len(self.sets)
+            self.sets.append(key)
+            if to >= len(self.step):
+                self.step = np.concatenate([self.step, np.full_like(self.step, -1)])
+                self.accept = np.concatenate([self.accept, np.full_like(self.accept, -1)])
+            self.accept[to] = self._accepts(key)
+        self.step[state, symbol] = to
+        return to
 
     def match(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Edits of the best term for each word, -1 for none; all words walk together."""
+        if len(self.sets) > self.MOST:
+            self._clear()
         state = np.ones(len(start), np.int32)
         live, at = np.arange(len(start)), start
         sym = self.symbol[np.minimum(points, 65536)]
@@ -143,12 +180,69 @@ class Automaton:
             over = at >= end[live]
             out[live[over]] = self.accept[state[live[over]]]
             live, at = live[~over], at[~over]
-            state[live] = self.step[state[live], sym[at]]
-            alive = state[live] > 0
+            now, read = state[live], sym[at]
+            to = self.step[now, read]
+            new = np.flatnonzero(to < 0)
+            if len(new):
+                for pair in set(zip(now[new].tolist(), read[new].tolist(), strict=True)):
+                    self._next(*pair)
+                to = self.step[now, read]
+            state[live] = to
+            alive = to > 0
             live, at = live[alive], at[alive] + 1
         return out
 
 
+def spots(automaton: Automaton, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and edits of all that matches: words, words with letters drawn out, and words that signs mask or split."""
+    start, end = words_of(points)
+    edits = automaton.match(points, start, end)
+    if not len(start):
+        return start, end, edits
+    drawn = np.flatnonzero((points[2:] == points[1:-1]) & (points[1:-1] == points[:-2]) & LETTER[np.minimum(points[2:], 65536)])
+    w = np.unique(np.searchsorted(start, drawn, "right") - 1)
+    w = w[edits[w] < 0]
+    if len(w):
+        short = []
+        for i in w:
+            x = points[start[i] : end[i]]
+            short.append(x[np.append(True, x[1:] != x[:-1])])
+        stop = np.cumsum([len(x) for x in short])
+        got = automaton.match(np.concatenate(short), np.append(0, stop[:-1]), stop)
+        edits[w] = np.where(got >= 0, np.maximum(got, 1), -1)
+    hit = edits >= 0
+    found = [(start[hit], end[hit], edits[hit])]
+    # Runs of words with signs but no space between them, none of them a hit: a sign stands for a letter or for none.
+    blank = np.append(0, np.cumsum(_BLANK[np.minimum(points, 65536)]))
+    tied = np.append((blank[start[1:]] == blank[end[:-1]]) & ~hit[1:] & ~hit[:-1], False)
+    letters = np.append(0, np.cumsum(end - start))
+    i = j = np.flatnonzero(tied)
+    taken = np.zeros(len(start), bool)
+    masked = []
+    while len(i):
+        j = j + 1
+        n = letters[j + 1] - letters[i]
+        ok = n <= automaton.longest + 2
+        i, j, n = i[ok], j[ok], n[ok]
+        got = np.full(len(i), -1)
+        long = n >= 3
+        got[long] = automaton.match(points, start[i[long]], end[j[long]])
+        masked += [(a, b) for a, b in zip(i[got == 0].tolist(), j[got == 0].tolist(), strict=True)]
+        on = tied[j]
+        i, j = i[on], j[on]
+    keep = []
+    for a, b in sorted(masked, key=lambda x: (x[0] - x[1], x[0])):
+        if not taken[a : b + 1].any():
+            taken[a : b + 1] = True
+            keep.append((a, b))
+    if keep:
+        a, b = np.array(keep).T
+        found.append((start[a], end[b], np.ones(len(a), np.int8)))
+    s, e, k = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(s, kind="stable")
+    return s[order], e[order], k[order]
+
+
 @dataclass
 class Model:
     automaton: Automaton
@@ -163,14 +257,12 @@ N_FEATURES = 8
 def hits(model: Model, text: str) -> list[tuple[str, int, float]]:
     """(word, edits, context score) of each hit; 1 is plain use, 0 is a quotation."""
     points = _lower(text)
-    start, end = words_of(points)
-    edits = model.automaton.match(points, start, end)
-    found = np.flatnonzero(edits >= 0)
-    if not len(found):
+    start, end, edits = spots(model.automaton, points)
+    if not len(start):
         return []
     low = points.tobytes().decode("utf-32-le", "surrogatepass")
     out = []
-    for i in found:
+    for i in range(len(start)):
         s, e = int(start[i]), int(end[i])
         word = low[s:e]
         if edits[i] and word in model.innocent:
@@ -237,7 +329,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = FIT_ROWS
     terms = _terms(docs, sample)
     if not terms:
         return None
-    model = Model(Automaton.of(terms))
+    model = Model(Automaton(terms, loose, True))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,6 +400,5 @@ def suspects(m: Model, raw: memoryview, off: np.ndarray, i: int, j: int) -> list
     texts_ = [bytes(raw[off[d] : off[d + 1]]).decode().lower() for d in range(i, j)]
     size = np.array([len(t) + 1 for t in texts_])
     points = np.frombuffer(("\n".join(texts_) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
-    start, end = words_of(points)
-    found = start[m.automaton.match(points, start, end) >= 0]
+    found = spots(m.automaton, points)[0]
     return sorted({i + int(d) for d in np.searchsorted(np.cumsum(size), found, "right")})

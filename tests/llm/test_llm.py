@@ -439,6 +439,37 @@ def test_rare_terms_of_a_large_lexicon(spark):
     assert len(got & set(terms)) > 590
 
 
+@pytest.mark.parametrize("word", ["skum", "scvm", "scmu", "idoit", "stuuupid", "st*pid", "id!ot", "i-d-i-o-t", "m.o.r.o.n", "wrthles", "wortlhes"])
+def test_misspelled_and_masked(word):
+    m = toxicity.Model(toxicity.Automaton([(t, False) for t in ("scum", "idiot", "stupid", "moron", "worthless")], toxicity.loose, True))
+    assert [w for w, _, _ in toxicity.hits(m, f"well, you {word}, go home. A well-known e.g. list/of words")] == [word]
+
+
+def test_loose_automaton():
+    def distance(a, b):
+        d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+                if i and j and x == b[j - 1] and a[i - 1] == y:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a) - 1, len(b) - 1]
+
+    terms = [("idiot", False), ("scum", False), ("worthless", False), ("worth", False), ("lowei", True)]
+    a = toxicity.Automaton(terms, toxicity.loose, True)
+    r = random.Random(2)
+    for _ in range(800):
+        w = list(r.choice(["idiot", "scum", "worthless", "worth", "loweiabc"]))
+        for _ in range(r.randint(0, 3)):
+            i = r.randrange(len(w) - 1)
+            w[i : i + 2] = r.choice([[w[i + 1], w[i]], [w[i]], [*w[i : i + 2], "t"], ["s", w[i + 1]]])
+            if len(w) < 2:
+                w += "o"
+        w = "".join(w)
+        all_ = [distance(t, w[:e]) for t, stem in terms for e in (range(1, len(w) + 1) if stem else [len(w)]) if distance(t, w[:e]) <= toxicity.loose(t, stem)]
+        assert int(a.match(toxicity._lower(w), np.array([0]), np.array([len(w)]))[0]) == min(all_, default=-1), w
+
+
 def test_quotations_weigh_less():
     m = toxicity.Model(toxicity.Automaton.of([("blockhead", False)]))
     plain = toxicity.hits(m, "well you blockhead you")[0]
