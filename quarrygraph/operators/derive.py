@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,12 +96,12 @@ def innermost(positions: DataFrame, symbols: DataFrame, bucket: int = 64) -> Dat
     return inside.groupBy(*positions.columns).agg(best.alias("b")).select(*positions.columns, "b.symbol_id")
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(start, reached, depth): everything reachable from each start, least depth; cycles end where nothing new is found."""
     frontier = cut(edges.selectExpr("source_id as start", "target_id as reached", "1 as depth").distinct())
     known = frontier
     step = cut(edges.selectExpr("source_id as reached", "target_id as next").distinct())
-    for depth in range(2, most + 1):
+    for depth in count(2):
         new = frontier.join(step, "reached").selectExpr("start", "next as reached", f"{depth} as depth").distinct().join(known.select("start", "reached"), ["start", "reached"], "left_anti")
         new = cut(new)
         if new.isEmpty():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def combined_comparison(files: DataFrame) -> DataFrame:
     return files.groupBy("project").agg(F.min(F.when(~F.col("complete"), 0).otherwise(rank)).alias("rank")).select("project", F.element_at(F.array(F.lit(DIFFERENT), F.lit(METADATA), F.lit(CONTENT)), F.col("rank") + 1).alias("comparison"))
 
 
-def reverse_closure(dirty: DataFrame, references: DataFrame, most: int = 64) -> DataFrame:
+def reverse_closure(dirty: DataFrame, references: DataFrame) -> DataFrame:
     """(project): dirty projects and all that refer to them, directly or not; removed projects dirty theirs as well.
 
     Rounds join the newest projects only; a cycle ends when a round finds nothing new.
@@ -53,7 +55,7 @@ def reverse_closure(dirty: DataFrame, references: DataFrame, most: int = 64) ->
     frontier = known
     refs = references.select(F.col("refers_to").alias("project"), F.col("project").alias("dependent")).distinct()
     refs = cut(refs)
-    for depth in range(most):
+    for depth in count():
         new = frontier.join(refs, "project").select(F.col("dependent").alias("project")).distinct().join(known, "project", "left_anti")
         new = cut(new)
         if new.isEmpty():

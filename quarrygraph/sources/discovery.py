@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import count
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -61,7 +62,7 @@ def restore_metadata(assets: Column, extensions: Column) -> Column:
     return F.struct(F.coalesce(assets, F.concat(F.rtrim(extensions, F.lit("/")), F.lit("/project.assets.json"))).alias("path"), assets.isNotNull().alias("complete"))
 
 
-def candidate_rules(rules: DataFrame, forwards: DataFrame, most: int = 32) -> DataFrame:
+def candidate_rules(rules: DataFrame, forwards: DataFrame) -> DataFrame:
     """(item, glob, excludes): wildcard rules an item type has, directly or by forwarding other item types.
 
     rules: item, glob, excludes array; forwards: item, upstream, excludes array. Each hop adds its exclusions; an item type is not
@@ -69,13 +70,14 @@ def candidate_rules(rules: DataFrame, forwards: DataFrame, most: int = 32) -> Da
     """
     known = rules.select("item", "glob", "excludes", F.array("item").alias("way"))
     step = known
-    for _ in range(most):
+    for hop in count(1):
         step = step.withColumnRenamed("item", "upstream").join(forwards.withColumnRenamed("excludes", "more"), "upstream").where(~F.array_contains("way", F.col("item")))
         step = step.select("item", "glob", F.array_sort(F.array_distinct(F.concat("excludes", "more"))).alias("excludes"), F.concat("way", F.array("item")).alias("way"))
         step = cut(step)
         if step.isEmpty():
             break
         known = known.unionByName(step)
+        known = cut(known) if hop % 16 == 0 else known
     return known.select("item", "glob", "excludes").distinct()
 
 

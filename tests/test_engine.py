@@ -14,6 +14,7 @@ from quarrygraph.operators import derive, incremental, merge, verbs
 from quarrygraph.operators.filters import Filters, excludes_folder, glob, temporary_of
 from quarrygraph.plans import batches, export, paging, request
 from quarrygraph.plans.session import Cache, Lease, Session, integrity_problems, refresh
+from quarrygraph.sources import discovery
 from quarrygraph.streaming.dirty import DirtyState, Generation, admitted, path_decision, replay, unconsumed
 
 OBS = "source_id string, target_id string, relation string, evidence string, confidence double, file string, line int, column int"
@@ -375,3 +376,13 @@ def test_progress_lines():
         p.line("extract", done, 3)
     p.summary(2, 1)
     assert out.getvalue().splitlines() == ["[00:00] extract 0/3", "[00:01] extract 1/3", "[00:11] extract 1/3", "[01:01] extract 2/3", "done in 01:01: 2 extracted, 1 reused"]
+
+
+def test_chains_longer_than_any_round_limit(spark):
+    chain = spark.range(70).selectExpr("cast(id as string) as source_id", "cast(id + 1 as string) as target_id")
+    assert max(r.depth for r in derive.closure(chain).where("start = '0'").collect()) == 70
+    refs = chain.selectExpr("source_id as project", "target_id as refers_to")
+    assert incremental.reverse_closure(spark.createDataFrame([("70",)], "project string"), refs).count() == 71
+    rules = spark.createDataFrame([("0", "*.cs", ["x"])], "item string, glob string, excludes array<string>")
+    forwards = spark.range(40).selectExpr("cast(id + 1 as string) as item", "cast(id as string) as upstream", "array('y') as excludes")
+    assert {int(r.item) for r in discovery.candidate_rules(rules, forwards).collect()} == set(range(41))
