@@ -212,7 +212,7 @@ def document_windows(docs: DataFrame, sizes: list[tuple[int, int]], wanted: np.n
         for b in batches:
             did, th = ids(column(b, "doc_id")), text_hashes(b)
             data, off = utf8(column(b, "text"))
-            for i, j in doc_chunks(off, 1 << 19):
+            for i, j in doc_chunks(off, 1 << 17):
                 points, at = _points(memoryview(data), off, i, j)
                 word, own, slot, either, first = template(points, at)
                 for n, kind in sizes:
