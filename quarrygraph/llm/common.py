@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ def tune(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quarrygraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -104,27 +107,25 @@ def ids(arr: pa.Array) -> np.ndarray:
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows out of sorted batches that never cut a group of equal ``keys``."""
+    """Tables of about ``rows`` rows out of sorted batches that never cut a group of equal ``keys``; each row is copied once."""
     held: list[pa.Table] = []
     n = 0
+    last: list = []
     for b in batches:
         if not b.num_rows:
             continue
         t = pa.Table.from_batches([b])
+        if n >= rows:
+            same = np.ones(t.num_rows, bool)
+            for k, v in zip(keys, last, strict=True):
+                same &= pc.equal(t[k], v).to_numpy(zero_copy_only=False)
+            cut = t.num_rows if same.all() else int(same.argmin())
+            if cut < t.num_rows:
+                yield pa.concat_tables([*held, t.slice(0, cut)]).combine_chunks()
+                held, n, t = [], 0, t.slice(cut)
         held.append(t)
         n += t.num_rows
-        if n < rows:
-            continue
-        t = pa.concat_tables(held).combine_chunks()
-        last = t.num_rows - 1
-        same = np.ones(t.num_rows, bool)
-        for k in keys:
-            c = t[k]
-            same &= pc.equal(c, c[last]).to_numpy(zero_copy_only=False)
-        cut = t.num_rows - int(same[::-1].argmin()) if not same.all() else 0
-        if cut:
-            yield t.slice(0, cut)
-        held, n = ([t.slice(cut)], t.num_rows - cut) if cut < t.num_rows else ([], 0)
+        last = [t[k][t.num_rows - 1] for k in keys]
     if n:
         yield pa.concat_tables(held).combine_chunks()
 
@@ -143,37 +144,82 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Rolling:
-    """Polynomial prefix hashes modulo 2**64: any span's hash from two prefix values."""
-
-    def __init__(self, base: int):
-        self.base, self.back = base, pow(base, -1, 2**64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            for name, b in (("up", self.base), ("down", self.back)):
-                x = np.full(n, b, np.uint64)
-                x[0] = 1
-                setattr(self, name, np.multiply.accumulate(x))
-        return self.up, self.down
+def chained(h: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` (``most`` at most) consecutive values of ``h`` from each start; not linear in any of them."""
+    out = mix(np.asarray(size).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for k in range(most):
+        on = size > k
+        if on.all():
+            out = mix(out + h[start + k])
+        else:
+            out[on] = mix(out[on] + h[start[on] + k])
+    return out
 
-    def prefix(self, sym: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(sym) + 1, np.uint64)
-        np.cumsum(sym * self.powers(len(sym) + 1)[0][: len(sym)], out=out[1:])
-        return out
 
-    def span(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (prefix[end] - prefix[start]) * self.down[start]
+#: Span hashes are polynomials over the field of this prime (a Mersenne prime), at a fixed point drawn at random.
+PRIME = np.uint64(2**61 - 1)
+POINT = 0x16B7D1E9A35C8F27
+_LOW31 = np.uint64(2**31 - 1)
+_LOW30 = np.uint64(2**30 - 1)
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> np.uint64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products in the field of ``PRIME``."""
+    ah, al, bh, bl = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    mid = ah * bl + al * bh
+    return folded(np.uint64(2) * ah * bh + (mid >> np.uint64(30)) + ((mid & _LOW30) << np.uint64(31)) + al * bl)
+
+
+#: Symbols that one step of ``span_hashes`` looks at.
+STEP = 1 << 18
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(point: int) -> np.ndarray:
+    """The first ``STEP`` powers of a point."""
+    if point not in _powers:
+        out = np.ones(1, np.uint64)
+        while len(out) < STEP:
+            out = np.concatenate([out, times(out, np.uint64(pow(point, len(out), int(PRIME))))])
+        _powers[point] = out
+    return _powers[point]
+
+
+def span_hashes(sym: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int) -> np.ndarray:
+    """64-bit hashes of spans of symbols below 2**bits, the same wherever a span stands; spans are in order and do not overlap."""
+    out = np.zeros(len(starts), np.uint64)
+    size = ends - starts
+    most = min(STEP, 1 << (32 - bits))  # sums of longer spans would overflow
+    for i in np.flatnonzero(size > most):
+        out[i] = xxhash.xxh3_64_intdigest(sym[starts[i] : ends[i]].tobytes())
+    short = np.flatnonzero(size <= most)
+    starts, ends = starts[short], ends[short]
+    up, down = powers(POINT), powers(pow(POINT, -1, int(PRIME)))
+    low, high = up & _LOW31, up >> np.uint64(31)
+    i = 0
+    while i < len(short):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + STEP, "right")))
+        x = sym[lo : int(ends[j - 1])].astype(np.uint64) + np.uint64(1)
+        a, b = np.zeros(len(x) + 1, np.uint64), np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x * low[: len(x)], out=a[1:])
+        np.cumsum(x * high[: len(x)], out=b[1:])
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        a, b = a[e] - a[s], folded(b[e] - b[s])
+        # b stands 31 bits higher.
+        b = (b >> np.uint64(30)) + ((b & _LOW30) << np.uint64(31))
+        out[short[i:j]] = times(folded(folded(a) + b), down[s])
+        i = j
+    return mix(out + np.uint64(0x9E3779B97F4A7C15))
 
 
-#: Odd multipliers; two bases make the hashes of two 64-bit halves independent.
-ROLL1, ROLL2 = Rolling(0x9E3779B97F4A7C15 | 1), Rolling(0xD1342543DE82EF95)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: A fixed random 64-bit value for each byte.
-BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,12 +246,7 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lo, hi = int(starts[0]), int(ends[-1])
-    sym = BYTE[data[lo:hi]]
-    p = ROLL1.prefix(sym)
-    return mix(ROLL1.span(p, starts - lo, ends - lo) + (ends - starts).astype(np.uint64))
+    return span_hashes(data, starts, ends, 8)
 
 
 def doc_chunks(off: np.ndarray, most: int) -> Iterator[tuple[int, int]]:

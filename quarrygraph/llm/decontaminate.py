@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import ROLL1, ROLL2, column, doc_chunks, ids, mix, texts, tune, utf8
+from quarrygraph.llm.common import column, doc_chunks, ids, mix, span_hashes, texts, tune, utf8
 from quarrygraph.llm.toxicity import words_of
 from quarrygraph.llm.windows import text_hashes
 
@@ -55,8 +55,7 @@ _MARK[[ord(c) for c in ".,"]] = True
 
 def _hash(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     fold = np.where(points < 65536, _FOLD[np.minimum(points, 65535)], points).astype(np.uint64)
-    p = ROLL1.prefix(mix(fold + np.uint64(1)))
-    return mix(ROLL1.span(p, start, end) + (end - start).astype(np.uint64))
+    return span_hashes(fold, start, end, 21)
 
 
 def template(points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +83,8 @@ def template(points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last = np.append(part[1:], len(start))
     parts = _hash(points, start, end)
     many = last - part > 1
-    own = np.where(many & name[part], mix(ROLL2.span(ROLL2.prefix(parts), part, last)), parts[part])
+    nth = (np.arange(len(parts)) - np.repeat(part, last - part)).astype(np.uint64)
+    own = np.where(many & name[part], mix(np.add.reduceat(mix(parts + mix(nth + np.uint64(1))), part)), parts[part])
     own = np.where(many & number[part], _hash(points, start[part], end[last - 1]), own)
     start, head, number, name, inside, shape = start[part], head[part], number[part], name[part], inside[part], shape[part]
     first = np.searchsorted(start, off)
@@ -111,6 +111,18 @@ def _points(raw: memoryview, off: np.ndarray, i: int, j: int) -> tuple[np.ndarra
     return np.frombuffer(("\n".join(texts_) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32), at
 
 
+def _salted(word: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+    """A word's part in a window's hash, by its place in it."""
+    return mix(word + mix(np.asarray(place).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _sum(word: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(len(start), np.uint64)
+    for k in range(n):
+        out += _salted(word, k)[start + k]
+    return out
+
+
 def _windows(word: np.ndarray, own: np.ndarray, slot: np.ndarray, either: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: int, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, hashes and slots (a row of n for each) of the windows of n words within [lo, hi) that are of a kind.
 
@@ -125,20 +137,19 @@ def _windows(word: np.ndarray, own: np.ndarray, slot: np.ndarray, either: np.nda
     sure, maybe = s[p + n] - s[p], a[p + n] - a[p]
     if kind == RAW:
         p = p[2 * (sure + maybe) > n]
-        return p, mix(ROLL2.span(ROLL2.prefix(own), p, p + n) + np.uint64(n + 1000)), np.zeros((len(p), n), bool)
+        return p, mix(_sum(own, p, n) + np.uint64(n + 1000)), np.zeros((len(p), n), bool)
     few, most = (0, n // 2) if kind == SEED else (SEED_WORDS // 2 + 1, n - 1)
     could = (sure <= most) & (sure + maybe >= few)
     p, sure, maybe = p[could], sure[could], maybe[could]
-    h = ROLL2.span(ROLL2.prefix(word), p, p + n)
+    h = _sum(word, p, n)
     slots, eithers = (np.lib.stride_tricks.sliding_window_view(x, n) for x in (slot, either))
-    up = ROLL2.powers(n)[0]
     out = [(p[ok], h[ok], slots[p[ok]]) for ok in [sure >= few]]
     for k in range(1, int(maybe.max(initial=0)) + 1):
         rows = np.flatnonzero(maybe == k)
         if not len(rows):
             continue
         at = np.nonzero(eithers[p[rows]])[1].reshape(-1, k)
-        swap = (NAME - word[p[rows][:, None] + at]) * up[at]
+        swap = _salted(NAME, at) - _salted(word[p[rows][:, None] + at], at)
         for mask in range(1, 1 << k):
             bits = [i for i in range(k) if mask >> i & 1]
             ok = (sure[rows] + len(bits) >= few) & (sure[rows] + len(bits) <= most)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import ROLL2, column, doc_chunks, ids, materialize, mix, release, texts, tune, utf8, whole_groups, word_hashes, word_spans
+from quarrygraph.llm.common import chained, column, doc_chunks, ids, materialize, mix, release, texts, tune, utf8, whole_groups, word_hashes, word_spans
 from quarrygraph.llm.graph import components
 from quarrygraph.llm.windows import packed, text_hashes, unpacked
 
@@ -56,9 +56,7 @@ def ngram_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, n
     start = np.repeat(first[:-1], grams) + np.arange(len(doc)) - np.repeat(np.cumsum(grams) - grams, grams)
     if not len(doc):
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    p = ROLL2.prefix(h)
-    size = np.minimum(words, n)[doc]
-    g = mix(ROLL2.span(p, start, start + size) + size.astype(np.uint64))
+    g = chained(h, start, np.minimum(words, n)[doc], n)
     order = np.lexsort((g, doc))
     g, doc = g[order], doc[order]
     new = np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))
