@@ -101,6 +101,8 @@ def deep_shallow(data: np.ndarray, start: np.ndarray, group: np.ndarray, length:
     shallow = min(SHALLOW // 8, len(at))
     for k in range(shallow):
         live, g = _tied(live, g)
+        if not len(live):
+            return order, shared
         sym = symbol(order[live], k)
         by = np.lexsort((sym, g))
         order[live] = order[live[by]]
