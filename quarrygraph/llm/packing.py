@@ -1,12 +1,10 @@
 """Best-fit packing of token sequences by bulk-synchronous rounds.
 
-Documents are tokenised, closed with an end id, and cut into pieces of at most ``capacity`` ids. Pieces and gaps are sorted
-by length; in each round (one length, longest first) every piece sweeps to its successor among the gaps, the smallest
-one it fits; the i-th piece of a length takes the i-th of those gaps (conflicts are settled by rank), and the gaps
-are updated. As lengths are integers up to ``capacity``, both sorted sequences are run-length coded: a round works on ranges of
-ranks, the driver holds a few ranges for each length, whatever the number of documents, and each piece
-finds its range by its rank. Ranks are dealt without a global sort: each task counts its own pieces by length, and a
-window over these counts gives its first rank.
+Documents are tokenised, closed with an end id, and cut into pieces of at most ``capacity`` ids. In each round gaps and pieces are
+range-sorted by size, and every range is swept from the largest to the smallest: a piece takes its successor among the gaps, the smallest one it
+fits; where several pieces have the same successor, ranks decide, the largest piece first. What a range leaves is paired with what
+other ranges leave in the same way, by prefix sums over the ranges. Gaps are updated, and the next round follows until all pieces are placed;
+pieces that fit no gap open sequences. A state of few rows is finished by the same rounds in one task.
 
 Defined results: a null or empty text is the end id alone; rows that repeat are packed as rows of their own; an empty
 table gives an empty table; other columns are ignored.
@@ -18,7 +16,6 @@ import json
 import os
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -33,6 +30,8 @@ from quarrygraph.llm.common import column, materialize, release, texts, tune
 CAPACITY, END_ID = 1024, 2
 #: Characters sent to the tokenizer at once.
 TOKENIZE_CHARS = 1 << 19
+#: Pieces and gaps that one task takes through all their rounds.
+TASK_ROWS = 20_000
 
 
 def default_tokenizer() -> str:
@@ -101,12 +100,11 @@ def _encoder(path: str) -> Encoder:
 
 
 def pieces_of(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, part, local): ``local`` numbers a task's pieces of one length."""
+    """(doc_id, piece, start, length, ids_crc32)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part = _encoder(tokenizer), TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
+        encoder = _encoder(tokenizer)
         for b in batches:
             docs_, texts_ = column(b, "doc_id").to_pylist(), [x or "" for x in column(b, "text").to_pylist()]
             i = 0
@@ -121,66 +119,116 @@ def pieces_of(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) -> Da
                     raw, first = memoryview(ids.tobytes()), len(ids) % capacity or min(capacity, len(ids))
                     edge = [0, *range(first, len(ids) + 1, capacity)]
                     for k, (s, e) in enumerate(zip(edge, edge[1:], strict=False)):
-                        out.append((doc, k, s, e - s, zlib.crc32(raw[4 * s : 4 * e]), part, int(seen[e - s])))
-                        seen[e - s] += 1
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local"])
+                        out.append((doc, k, s, e - s, zlib.crc32(raw[4 * s : 4 * e])))
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
                 i = j
 
-    return texts(docs).mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long")
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Rounds over run-length coded pieces and gaps.
-
-    Ranges (length, first rank, ranks, first sequence, each, offset): of these ranks, ``each`` in a row go to one sequence, one
-    behind the other from ``offset``; the next ``each`` go to the next sequence.
-    """
-    out: list[tuple[int, int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> ranges (first sequence, sequences)
-    used = 0
-    for length in sorted(counts, reverse=True):
-        left, rank = counts[length], 0
-        while left:
-            gap = min((g for g in gaps if g >= length), default=None)
-            if gap is None:  # open new sequences
-                gap, start, n = capacity, used, -(-left // (capacity // length))
-                used += n
-            else:
-                start, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap]
-            # The gap a piece leaves is smaller than all other gaps it fits, so best fit fills it up first.
-            each = gap // length
-            full = min(n, left // each)
-            if full:
-                out.append((length, rank, full * each, start, each, capacity - gap))
-                if rest := gap - each * length:
-                    gaps[rest].append((start, full))
-                left, rank, start, n = left - full * each, rank + full * each, start + full, n - full
-            if left and n and left < each:
-                out.append((length, rank, left, start, left, capacity - gap))
-                if rest := gap - left * length:
-                    gaps[rest].append((start, 1))
-                rank, left, start, n = rank + left, 0, start + 1, n - 1
-            if n:
-                gaps[gap].append((start, n))
+    return texts(docs).mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+
+def sweep(kind: list[int], size: list[int], id_: list[int]) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """Of gaps (kind 0) and pieces (1) from the largest to the smallest, gaps first among equals: pairs (piece, gap) of places, and the pieces and
+    gaps that are left. A piece takes its successor, the smallest gap it fits that no larger piece has taken: the last one seen."""
+    open_: list[int] = []
+    pairs, alone = [], []
+    for i, k in enumerate(kind):
+        if not k:
+            open_.append(i)
+        elif open_:
+            pairs.append((i, open_.pop()))
+        else:
+            alone.append(i)
+    return pairs, alone, open_
+
+
+_SWEPT = {"part": pa.int32(), "kind": pa.int32(), "size": pa.int32(), "id": pa.int64(), "mate": pa.int64(), "gap": pa.int32(), "nth": pa.int32()}
+
+
+def _swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sweep over one range: its pairs, and numbered, what other ranges may pair."""
+    t = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+    if t is None:
+        return
+    kind, size, id_ = (t[x].to_pylist() for x in ("kind", "size", "id"))
+    pairs, alone, open_ = sweep(kind, size, id_)
+    part = TaskContext.get().partitionId()
+    rows = [(part, 1, size[i], id_[i], id_[g], size[g], None) for i, g in pairs]
+    rows += [(part, 1, size[i], id_[i], None, None, n) for n, i in enumerate(alone)]
+    rows += [(part, 0, size[g], id_[g], None, None, n) for n, g in enumerate(open_)]
+    for i in range(0, len(rows), 8192):
+        yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*rows[i : i + 8192], strict=True), _SWEPT.values(), strict=True)], names=list(_SWEPT))
+
+
+def _finished(capacity: int):
+    """All rounds of a state that fits one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, size, id_ = ([x for c in each for x in c] for each in zip(*([b.column(i).to_pylist() for i in range(3)] for b in batches), strict=True)) if (batches := list(batches)) else ([], [], [])
+        state = list(zip(kind, size, id_, strict=True))
+        out: list[tuple[int, int, int]] = []
+        while any(k for k, _, _ in state):
+            state.sort(key=lambda x: (-x[1], x[0], x[2]))
+            pairs, alone, open_ = sweep(*(list(c) for c in zip(*state, strict=True)))
+            out += [(state[i][2], state[g][2], capacity - state[g][1]) for i, g in pairs]
+            n = 0 if pairs else -(-sum(state[i][1] for i in alone) // capacity)
+            out += [(state[i][2], state[i][2], 0) for i in alone[:n]]
+            least = min((state[i][1] for i in alone[n:]), default=capacity + 1)
+            rest = [(0, state[g][1] - state[i][1], state[g][2]) for i, g in pairs] + [state[g] for g in open_] + [(0, capacity - state[i][1], state[i][2]) for i in alone[:n]]
+            state = [x for x in rest if x[1] >= least] + [state[i] for i in alone[n:]]
+        if out:
+            yield pa.record_batch([pa.array(v, pa.int64()) for v in zip(*out, strict=True)], names=["pid", "sid", "at"])
+
+    return run
+
+
+def best_fit(pieces: DataFrame, capacity: int) -> DataFrame:
+    """(pid, sid, at) of pieces (pid, length): the sequence and the place there, by bulk-synchronous rounds; a sequence is named by its first piece."""
+    spark = pieces.sparkSession
+    # No two of the pieces over half a sequence fit one, so each opens its own.
+    placed = [pieces.where(F.col("length") > capacity // 2).selectExpr("pid", "pid as sid", "0L as at")]
+    small = F.col("length") <= capacity // 2
+    state = pieces.select(small.cast("int").alias("kind"), F.when(small, F.col("length")).otherwise(capacity - F.col("length")).cast("int").alias("size"), F.col("pid").alias("id"))
+    state = materialize(state.where("size > 0"))
+    order = [F.desc("size"), F.asc("kind"), F.asc("id")]
+    while state.count() > TASK_ROWS:
+        swept = materialize(state.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_swept, "part int, kind int, size int, id long, mate long, gap int, nth int"))
+        # One row a range: how many pieces and gaps it leaves, and so how many gaps are open before it.
+        left = sorted(tuple(r) for r in swept.where("mate is null").groupBy("part").agg(F.sum("kind"), F.sum(1 - F.col("kind"))).collect())
+        before = np.cumsum([0, *(g - p for _, p, g in left)])[:-1].tolist()
+        names = "part int, pieces long, before long"
+        offsets = F.broadcast(spark.createDataFrame([(part, p, b) for (part, p, _), b in zip(left, before, strict=True)], names))
+        # What is left pairs across ranges like brackets: a gap opens a level and a piece closes it. A range crosses a level at most once each
+        # way, so a level has two rows a range at most, and the row before a piece is its gap.
+        level = F.expr("if(kind = 1, before - nth, before - pieces + nth + 1)").alias("level")
+        levels = swept.where("mate is null").join(offsets, "part").select("part", "kind", "size", "id", level)
+        w = Window.partitionBy("level").orderBy("part", F.desc("kind"))
+        by = materialize(levels.select("kind", "size", "id", "level", F.lag("kind").over(w).alias("k"), F.lag("id").over(w).alias("mate"), F.lag("size").over(w).alias("gap"), F.lead("kind").over(w).alias("next")))
+        pairs = swept.where("mate is not null").select("id", "size", "mate", "gap").unionByName(by.where("kind = 1 and k = 0").select("id", "size", "mate", "gap"))
+        alone = by.where("kind = 1 and k is null")
+        got = alone.agg(F.sum("size").alias("total"), F.min("size").alias("least")).first()
+        # Where no piece fits any gap, as many sequences as the rest needs are opened by the largest pieces; alone ones have levels 0, -1, ...
+        n = 0 if got.total is None or not pairs.isEmpty() else -(-got.total // capacity)
+        opening = alone.where(f"-level < {n}")
+        placed += [pairs.selectExpr("id as pid", "mate as sid", f"bigint({capacity} - gap) as at"), opening.selectExpr("id as pid", "id as sid", "0L as at")]
+        if got.least is None:
+            state = state.limit(0)
+            break
+        gaps = pairs.selectExpr("0 as kind", "gap - size as size", "mate as id").unionByName(by.where("kind = 0 and next is null").select("kind", "size", "id")).unionByName(opening.selectExpr("0 as kind", f"{capacity} - size as size", "id"))
+        # A gap below all pieces stays as it is.
+        after = materialize(gaps.where(f"size >= {got.least}").unionByName(alone.where(f"-level >= {n}").select("kind", "size", "id")))
+        release(spark, state)
+        state = after
+    placed.append(state.coalesce(1).mapInArrow(_finished(capacity), "pid long, sid long, at long"))
+    out = placed[0]
+    for x in placed[1:]:
+        out = out.unionByName(x)
     return out
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    spark = docs.sparkSession
-    tune(spark)
-    pieces = materialize(pieces_of(docs, capacity, tokenizer or default_tokenizer(), end_id))
-    own = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = materialize(own.withColumn("base", F.coalesce(before, F.lit(0))))
-    release(spark)
-    counts = {r["length"]: r["n"] for r in firsts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
-    ranges = best_fit(counts, capacity)  # a few for each length
-    names = "length long, lo long, n long, seq long, each long, at long"
-    plan = F.broadcast(spark.createDataFrame(ranges, names).withColumnRenamed("length", "l").withColumnRenamed("n", "size"))
-    ranked = pieces.join(firsts.select("length", "part", "base"), ["length", "part"]).withColumn("rank", F.expr("base + local"))
-    placed = ranked.join(plan, F.expr("length = l and rank >= lo and rank < lo + size"))
-    return placed.selectExpr("doc_id", "piece", "start", "length", "ids_crc32", "seq + (rank - lo) div each as sequence_id", "at + (rank - lo) % each * length as offset")
+    tune(docs.sparkSession)
+    pieces = materialize(pieces_of(docs, capacity, tokenizer or default_tokenizer(), end_id).withColumn("pid", F.monotonically_increasing_id()))
+    placed = best_fit(pieces.select("pid", "length"), capacity)
+    return pieces.join(placed, "pid").selectExpr("doc_id", "piece", "start", "length", "ids_crc32", "sid as sequence_id", "at as offset")

@@ -190,24 +190,35 @@ def test_packing(spark, corpus):
         assert at <= 1024
 
 
-def test_best_fit_equals_sequential_best_fit():
-    r = random.Random(3)
-    for _ in range(30):
-        capacity = r.choice([10, 64])
-        counts = Counter(r.randint(1, capacity) for _ in range(r.randint(0, 200)))
-        gaps = []
-        for length in sorted(counts.elements(), reverse=True):
-            fit = min((g for g in gaps if g >= length), default=None)
-            if fit is not None:
-                gaps.remove(fit)
-            gaps.append((fit if fit is not None else capacity) - length)
-        ranges = packing.best_fit(dict(counts), capacity)
-        used = Counter()
-        for length, _, n, seq, each, _ in ranges:
-            for i in range(n):
-                used[seq + i // each] += length
-        assert sorted(capacity - v for v in used.values()) == sorted(gaps)
-        assert all(sum(x[2] for x in ranges if x[0] == k) == v for k, v in counts.items())
+def sequential_best_fit(lengths, capacity):
+    gaps = []
+    for length in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= length), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((fit if fit is not None else capacity) - length)
+    return len(gaps)
+
+
+@pytest.mark.parametrize(("capacity", "most", "n"), [(10, 10, 300), (64, 64, 400), (64, 20, 400), (64, 3, 150), (1024, 700, 400), (8, 8, 0), (8, 8, 1)])
+def test_rounds_against_sequential_best_fit(spark, monkeypatch, capacity, most, n):
+    r = random.Random(capacity + most)
+    lengths = {i: r.randint(1, most) for i in range(n)}
+    df = spark.createDataFrame([(i, x) for i, x in lengths.items()], "pid long, length long")
+    whole = sorted(tuple(x) for x in packing.best_fit(df, capacity).collect())
+    monkeypatch.setattr(packing, "TASK_ROWS", n // 2)
+    dealt = sorted(tuple(x) for x in packing.best_fit(df, capacity).collect())
+    assert whole == dealt and [x[0] for x in dealt] == sorted(lengths)
+    bins = defaultdict(list)
+    for pid, sid, at in dealt:
+        bins[sid].append((at, lengths[pid]))
+    for b in bins.values():
+        end = 0
+        for at, length in sorted(b):
+            assert at == end
+            end += length
+        assert end <= capacity
+    assert len(bins) <= 1.02 * sequential_best_fit(lengths.values(), capacity) + 1
 
 
 def jaccard(corpus):
