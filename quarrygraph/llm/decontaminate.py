@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrygraph.llm.common import column, doc_chunks, ids, mix, span_hashes, texts, tune, utf8
+from quarrygraph.llm.minhash_join import identified
 from quarrygraph.llm.toxicity import words_of
 from quarrygraph.llm.windows import text_hashes
 
@@ -323,8 +324,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, **params: float) -> DataFrame:
     """``docs`` without the documents in which an item is found."""
-    from quarrygraph.llm.minhash_join import _keyed
-
-    bad = leaks(docs, benchmark, **params).select(F.col("did").alias("__did"), F.col("th").alias("__th")).distinct()
-    keyed = docs.mapInArrow(_keyed(docs.columns), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __did long, __th long")
-    return keyed.join(bad, ["__did", "__th"], "left_anti").select(*docs.columns)
+    keys, keyed = identified(docs)
+    bad = leaks(docs, benchmark, **params).select("did", "th").distinct().toDF(*keys)
+    return keyed.join(bad, keys, "left_anti").select(*docs.columns)

@@ -7,7 +7,8 @@ deletes keys that fall below it, so the index after any insertions and deletions
 
 Defined results: a null or empty text is one empty line; rows that repeat a doc_id count as documents of their
 own and share its fate; a null doc_id keeps a line only if no document with an id has it; an empty table gives an empty
-table; other columns pass through ``dedup_lines`` and are ignored by the index.
+table; other columns pass through ``dedup_lines`` and are ignored by the index. A shard's filter goes to the keys of that shard, by broadcast
+or by a shuffle, and the exact table decides about the keys that pass.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import WS, column, ids, materialize, mix, release, texts, tune
+from quarrygraph.llm.common import NULL_ID, WS, column, ids, materialize, mix, release, texts, tune, unused
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Filters of all shards together beyond this many bytes are not broadcast; the exact join alone decides.
+#: Filters of all shards together beyond this many bytes are not broadcast; they go to their keys by a shuffle.
 BROADCAST_BYTES = 32 << 20
-#: Keys a shard should hold; their number sets the number of shards when an index is first filled.
+#: Keys a shard should hold; an index of twice as many is dealt anew.
 SHARD_KEYS = 200_000
+#: Parts of a shard's keys in a shuffle, each with its own copy of the filter, so that a line of very many documents is no hot group.
+PARTS = 32
 
 
 class CuckooFilter:
@@ -153,11 +156,12 @@ class LineIndex:
         # A key below the threshold can matter only to a later insertion, so an index built once drops it.
         merged = materialize(merged if self.reversible else merged.where(f"n >= {self.min_docs}"))
         release(merged.sparkSession)
-        if not self.shards:
-            self.shards = max(1, merged.where(f"n >= {self.min_docs}").count() // SHARD_KEYS)
+        want = max(1, merged.where(f"n >= {self.min_docs}").count() // SHARD_KEYS)
+        if want >= 2 * self.shards:
+            self.shards, self.filters = want, None
         shard = F.pmod(F.col("hi"), F.lit(self.shards)).cast("int").alias("shard")
         self.refs = merged.where("n > 0").select(shard, "hi", "lo", "n", "keeper")
-        turned = merged.where(f"(n >= {self.min_docs}) <> (was >= {self.min_docs})").select(shard, "lo", (F.col("n") >= self.min_docs).alias("up"))
+        turned = merged.where(f"(n >= {self.min_docs}) <> (was >= {self.min_docs})" if self.filters is not None else f"n >= {self.min_docs}").select(shard, "lo", (F.col("n") >= self.min_docs).alias("up"))
         self.filters = materialize(self._turn(turned))
         return self
 
@@ -207,20 +211,53 @@ class LineIndex:
                     yield b.filter(pa.array(ok))
 
             keys = keys.mapInArrow(passing, keys.schema)
+        else:
+            keys = self._passing_by_shard(keys)
         exact = self.refs.where(F.col("n") >= self.min_docs).select("hi", "lo", "keeper")
         return keys.join(exact, ["hi", "lo"]).where("did <> keeper").groupBy("did").agg(F.collect_set(F.struct("hi", "lo")).alias("keys"))
 
+    def _passing_by_shard(self, keys: DataFrame) -> DataFrame:
+        """The keys that pass the filter of their shard: a task reads a filter and then the keys sorted behind it, one batch at a time."""
+        part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+        none = F.lit(None).cast("long")
+        own = keys.select(F.pmod("hi", F.lit(self.shards)).cast("int").alias("shard"), F.pmod(F.xxhash64("did"), F.lit(PARTS)).cast("int").alias("part"), F.lit(None).cast("binary").alias("filter"), "hi", "lo", "did")
+        sent = self.filters.select("shard", part, "filter").select("shard", "part", "filter", none.alias("hi"), none.alias("lo"), none.alias("did"))
+
+        def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held = None, None
+            for b in batches:
+                blob = b.column(2)
+                group = [(s, p) for s, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                ok = np.zeros(b.num_rows, bool)
+                i = 0
+                while i < b.num_rows:
+                    if blob[i].is_valid:
+                        at, held = group[i], CuckooFilter.of(blob[i].as_py())
+                        i += 1
+                        continue
+                    j = i + 1
+                    while j < b.num_rows and group[j] == group[i]:
+                        j += 1
+                    if at == group[i]:  # else no key of that shard is held by enough documents
+                        ok[i:j] = held.contains(b.column(4).slice(i, j - i).to_numpy())
+                    i = j
+                yield b.select(["hi", "lo", "did"]).filter(pa.array(ok))
+
+        both = own.unionByName(sent).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("filter").isNull())
+        return both.mapInArrow(passing, "hi long, lo long, did long")
+
     def dedup(self, docs: DataFrame) -> DataFrame:
         """``docs`` with n_lines, n_dropped and kept_text (null where nothing goes); columns of these names are replaced."""
         docs, drops, least = docs.drop("n_lines", "n_dropped", "kept_text"), self.drops(docs), self.min_chars
-        joined = docs.withColumn("__did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long"))).join(drops.select(F.col("did").alias("__did"), F.col("keys").alias("__keys")), "__did", "left").drop("__did")
+        own, lost = unused(docs, "__did"), unused(docs, "__keys")
+        joined = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID).cast("long"))).join(drops.select(F.col("did").alias(own), F.col("keys").alias(lost)), own, "left").drop(own)
         names = [f.name for f in docs.schema]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long, kept_text string"
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 total, gone, kept = [], [], []
-                for text, keys in zip(column(b, "text").to_pylist(), column(b, "__keys").to_pylist(), strict=True):
+                for text, keys in zip(column(b, "text").to_pylist(), column(b, lost).to_pylist(), strict=True):
                     lines = (text or "").split("\n")
                     total.append(len(lines))
                     if not keys:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import chained, column, doc_chunks, ids, materialize, mix, release, texts, tune, utf8, whole_groups, word_hashes, word_spans
+from quarrygraph.llm.common import chained, column, doc_chunks, ids, materialize, mix, release, texts, tune, unused, utf8, whole_groups, word_hashes, word_spans
 from quarrygraph.llm.graph import components
 from quarrygraph.llm.windows import packed, text_hashes, unpacked
 
@@ -223,16 +223,21 @@ def keep_one(docs: DataFrame, **params: float) -> DataFrame:
     """``docs`` with one row of each class: the one of smallest doc_id (null last), then of least text hash."""
     links = jaccard_links(docs, **params)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "did", "th")
-    keep = materialize(links.groupBy("root").agg(F.min(order).alias("o"), F.count("*").alias("n")).select("o.did", "o.th", "n"))
-    keyed = docs.mapInArrow(_keyed(docs.columns), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __did long, __th long")
-    kept = keyed.join(keep.selectExpr("did as __did", "th as __th"), ["__did", "__th"])
+    keep = materialize(links.groupBy("root").agg(F.min(order).alias("o")).select("o.did", "o.th"))
+    keys, keyed = identified(docs)
+    kept = keyed.join(keep.toDF(*keys), keys)
     again = links.groupBy("did", "th").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["__did", "__th"]) if again else kept).select(*docs.columns)
+    return (kept.dropDuplicates(keys) if again else kept).select(*docs.columns)
 
 
-def _keyed(names: list[str]):
+def identified(docs: DataFrame) -> tuple[list[str], DataFrame]:
+    """``docs`` with the two columns that name a row's content, and their names, which clash with no other."""
+    names = [unused(docs, "__did"), unused(docs, "__th")]
+    of = docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([*b.columns, pa.array(ids(column(b, "doc_id"))), pa.array(text_hashes(b))], names=[*names, "__did", "__th"])
+            yield pa.record_batch([*b.columns, pa.array(ids(column(b, "doc_id"))), pa.array(text_hashes(b))], names=[*of, *names])
 
-    return run
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return names, docs.mapInArrow(run, f"{schema}, `{names[0]}` long, `{names[1]}` long")

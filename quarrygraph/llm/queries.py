@@ -60,15 +60,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 #: Line dedup: lines by their keys; a key in five documents or more stays in the largest doc_id only.
 _OP1 = r"""
-with docs as (select doc_id, coalesce(text, '') as text from documents),
-parts as (select doc_id, string_split(text, chr(10)) as x from docs),
-lines as (select doc_id, unnest(x) as line, unnest(range(len(x))) as i from parts),
-keyed as (select doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines),
-counted as (select k, max(doc_id) as keeper from keyed where length(k) >= 40 group by k having count(distinct doc_id) >= 5),
-marked as (select l.doc_id, l.i, l.line, c.k is not null and l.doc_id <> c.keeper as gone from keyed l left join counted c on l.k = c.k)
-select doc_id, count(*)::bigint as n_lines, count_if(gone)::bigint as n_dropped,
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+parts as (select r, doc_id, string_split(text, chr(10)) as x from docs),
+lines as (select r, doc_id, unnest(x) as line, unnest(range(len(x))) as i from parts),
+keyed as (select r, doc_id, i, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from lines),
+counted as (select k, max(doc_id) as keeper from keyed where length(k) >= 40 group by k having count(distinct r) >= 5),
+marked as (select l.r, l.doc_id, l.i, l.line, c.k is not null and l.doc_id <> c.keeper as gone from keyed l left join counted c on l.k = c.k)
+select any_value(doc_id) as doc_id, count(*)::bigint as n_lines, count_if(gone)::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
-from marked group by doc_id
+from marked group by r
 """
 
 #: Exact dedup: texts without white space compared whole.
@@ -94,6 +94,24 @@ select w.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)
 from w left join kept using (doc_id)
 """
 
+#: Substring dedup over bytes: every window of 200, from blocks of 500 starts.
+_OP10 = r"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+blocks as (select doc_id, h, unnest(range(0, greatest(len(h) // 2 - 199, 0), 500)) as b from d),
+pieces as (select doc_id, b, substring(h, 2 * b + 1, 1398) as x from blocks),
+starts as (select doc_id, b, x, unnest(range(0, len(x) // 2 - 199)) as i from pieces),
+keyed as (select doc_id, b + i as p, md5(substring(x, 2 * i + 1, 400)) as k from starts),
+again as (select k from keyed group by k having count(*) > 1),
+hit as (select doc_id, p from keyed semi join again using (k)),
+marked as (select doc_id, p, coalesce(p > lag(p) over (partition by doc_id order by p) + 200, true) as opens from hit),
+numbered as (select doc_id, p, sum(opens::int) over (partition by doc_id order by p) as r from marked),
+gone as (select doc_id, r, min(p) as s, max(p) + 200 as e from numbered group by all),
+cuts as (select doc_id, s, e from gone union all select doc_id, len(h) // 2, null from d),
+kept as (select doc_id, coalesce(lag(e) over (partition by doc_id order by s, e nulls last), 0) as u, s as v, e from cuts)
+select doc_id, (len(any_value(h)) // 2)::bigint as n_bytes, coalesce(sum(e - s), 0)::bigint as n_removed, count(e)::bigint as n_spans,
+  sha256(unhex(string_agg(substring(h, 2 * u + 1, 2 * (v - u)), '' order by u, v))) as kept_sha256
+from (select doc_id, u, v, e, v as s from kept) join d using (doc_id) group by doc_id
+"""
 
 #: Jaccard join: all pairs with a common 5-gram, and the components of those that reach 0.8.
 _OP5 = r"""
@@ -111,4 +129,4 @@ from documents d join class using (doc_id) left join n using (doc_id) left join
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op4_exact_dedup": _OP4, "op5_ngram_jaccard_join": _OP5, "op8_substring_dedup": _OP8}
+    return {"op1_line_dedup": _OP1, "op4_exact_dedup": _OP4, "op5_ngram_jaccard_join": _OP5, "op8_substring_dedup": _OP8, "op10_suffix_array_dedup": _OP10}

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarrygraph.llm.common import column, tune
+from quarrygraph.llm.common import column, tune, unused
 
 #: Elements by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -312,11 +312,12 @@ def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     tune(pages.sparkSession)
     kept = [c for c in pages.columns if c not in (html, "text", "n_chars")]
     types = {f.name: f.dataType.simpleString() for f in pages.schema}
+    source = unused(pages, "__html")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [extract(h) for h in column(b, "__html").to_pylist()]
+            out = [extract(h) for h in column(b, source).to_pylist()]
             yield pa.record_batch([*(column(b, c) for c in kept), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=[*kept, "text", "n_chars"])
 
     schema = "".join(f"`{c}` {types[c]}, " for c in kept) + "text string, n_chars long"
-    return pages.select(*kept, pages[html].cast("string").alias("__html")).mapInArrow(rows, schema)
+    return pages.select(*kept, pages[html].cast("string").alias(source)).mapInArrow(rows, schema)

@@ -18,11 +18,11 @@ from quarrygraph.llm import block_naming, decontaminate, graph, line_dedup, minh
 WS = " \t\n\x0b\x0c\r"
 DOCS = "doc_id long, text string"
 #: A table with extra columns, some named like results or inner columns.
-WIDE = "doc_id long, text string, lang string, n_chars long, score string, kept boolean, z int, th string, keys string, piece string"
+WIDE = "doc_id long, text string, lang string, n_chars long, score string, kept boolean, z int, th string, keys string, piece string, __did string, __keys string, __th string, __html string, rid string"
 
 
 def wide(spark, rows):
-    return spark.createDataFrame([(i, t, "en", None, "s", True, 1, "t", "k", "p") for i, t in rows], WIDE)
+    return spark.createDataFrame([(i, t, "en", None, "s", True, 1, "t", "k", "p", "d", "k", "t", "h", "r") for i, t in rows], WIDE)
 
 
 def sha(text):
@@ -49,7 +49,9 @@ def corpus():
     return docs
 
 
-def test_line_dedup(spark, corpus):
+@pytest.mark.parametrize("sent", [line_dedup.BROADCAST_BYTES, 0])
+def test_line_dedup(spark, corpus, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", sent)
     df = wide(spark, corpus)
     got = [tuple(x) for x in line_dedup.digest(line_dedup.dedup_lines(df)).collect()]
     key = lambda x: "".join(c.lower() if "A" <= c <= "Z" else c for c in x.strip(WS))
@@ -81,6 +83,20 @@ def test_line_index_is_reversible(spark, corpus):
         line_dedup.LineIndex(reversible=False).insert(a).delete(b)
 
 
+def test_line_index_is_dealt_anew_as_it_grows(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    lines = [f"line number {i} of this table, which is long enough to count" for i in range(60)]
+    first = spark.createDataFrame([(i, "\n".join(lines[:10])) for i in range(3)], DOCS)
+    more = spark.createDataFrame([(i, "\n".join(lines)) for i in range(10, 13)], DOCS)
+    index = line_dedup.LineIndex(min_docs=2).insert(first)
+    few = index.shards
+    index = index.insert(more)
+    assert few == 2 and index.shards == 15 and index.filters.count() > 8
+    decide = lambda x: sorted(tuple(r) for r in line_dedup.digest(x.dedup(more)).collect())
+    assert decide(index) == decide(line_dedup.LineIndex(min_docs=2).insert(first.unionByName(more)))
+
+
 def test_cuckoo_filter():
     r = np.random.default_rng(1)
     keys = r.integers(-(2**62), 2**62, 5000)
@@ -151,6 +167,37 @@ def test_windows_of_large_groups(spark, corpus, monkeypatch):
     assert order(got) == order(want)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_defeat_polynomials_modulo_a_power_of_two(spark, n):
+    x, y = thue_morse(n), thue_morse(n, "b", "a")
+    rest = [f"w{i}" for i in range(34)]
+    docs = spark.createDataFrame([(1, " ".join([x, *rest])), (2, " ".join([y, *rest]))], DOCS)
+    assert [r.n_removed for r in suffix_tree.remove_repeats(docs).collect()] == [0, 0]
+    lone = spark.createDataFrame([(1, x), (2, y)], DOCS)
+    assert [(r.n_links, r.class_id == r.doc_id) for r in minhash_join.jaccard_links(lone).collect()] == [(0, True)] * 2
+    assert {r.kept_sha256 for r in suffix_array.remove_repeats(lone, n).collect()} == {sha(x), sha(y)}
+    item = spark.createDataFrame([(5, y)], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.leaks(lone, item).collect()] == [2]
+
+
+def test_windows_of_texts_longer_than_a_segment(spark, monkeypatch):
+    from quarrygraph.llm import windows
+
+    r = random.Random(12)
+    parts = ["".join(r.choice("abcdefgh ") for _ in range(3000)) for _ in range(4)]
+    long = "".join(r.choice("abcdefgh ") for _ in range(windows.SEGMENT - 1500)) + parts[0] + "".join(r.choice("ijklmnop ") for _ in range(windows.SEGMENT)) + parts[1] + parts[2]
+    rows = [(1, long), (2, "x " + parts[0] + " y"), (3, parts[2] + parts[3])]
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_array.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: (6000, 2), 2: (3000, 1), 3: (3000, 1)} or all(abs(got[i][0] - n) < 9 for i, n in ((1, 6000), (2, 3000), (3, 3000)))
+    words = [x.split() for _, x in rows]
+    want = {i: (len(w), int(g.sum())) for (i, _), w, g in zip(rows, words, brute_windows(words, 35), strict=True)}
+    assert {x.doc_id: (x.n_words, x.n_removed) for x in suffix_tree.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()} == want
+
+
 def test_long_texts_are_cut_into_segments():
     from quarrygraph.llm.windows import SEGMENT, segments
 
