@@ -5,8 +5,9 @@ hash partitions, get integer names; then adjacent names are paired and distinct
 again, until a document has one name. Names are injective in every round, so equal (rounds, name) means
 equal texts, without any chance of a collision.
 
-A block travels once for each Arrow batch that holds it, with the list of its places, so a block that a third
-of all documents share costs its task a row a batch, not a row a document.
+A block gets a number in each task, and travels to the task that names it once for each task (once a batch where more than
+``KNOWN`` others came between); its places stay behind and are joined with the name by that number. So a block that a third of all
+documents share is a row a task, not a row a document.
 
 Defined results: null counts as empty, and all empty texts are equal; among equal texts the row with the most code
 points in its original stays, then the smallest doc_id (null last), then the first row read; rows that repeat
@@ -30,12 +31,16 @@ from quarrygraph.llm.common import WS, column, materialize, release, spans, text
 BLOCK = 1024
 #: Bits of a counter beside a partition's number in a name or row number.
 COUNTER = 36
+#: Blocks whose numbers a task remembers: 4 MB.
+KNOWN = 4096
 _META = "doc_id long, chars long, sha string"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, places): each distinct block of a batch once, with where it stands; a row's first place carries the row's facts."""
-    uid = TaskContext.get().partitionId() << COUNTER
+    """(bid, block, places): each distinct block of a batch once, with where it stands; a row's first place carries the row's facts.
+    A block that the task has sent with that number before is null."""
+    uid = bid = TaskContext.get().partitionId() << COUNTER
+    known: dict[bytes, int] = {}
     space = WS.encode()
     for b in batches:
         data, off = utf8(column(b, "text"))
@@ -62,34 +67,47 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["uid", "i", "n", "doc_id", "chars", "sha"],
         )
         edge = np.append(np.flatnonzero(np.append(True, np.diff(code[order]) != 0)), len(order))
-        yield pa.record_batch([coded.dictionary.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), place)], names=["block", "places"])
+        bids, sent = [], []
+        for block in coded.dictionary.to_pylist():
+            if block in known:
+                known[block] = known.pop(block)  # the last one used
+                sent.append(None)
+            else:
+                known[block] = bid
+                bid += 1
+                sent.append(block)
+                if len(known) > KNOWN:
+                    del known[next(iter(known))]
+            bids.append(known[block])
+        yield pa.record_batch([pa.array(bids), pa.array(sent, pa.binary()), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), place)], names=["bid", "block", "places"])
         uid += len(n)
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the distinct blocks of a sorted partition and deal the numbers to their places."""
+    """Number the distinct blocks of a sorted partition."""
     name, last = (TaskContext.get().partitionId() << COUNTER) - 1, None
     for b in batches:
         if not b.num_rows:
             continue
-        block, places = b.column(0), b.column(1)
+        block = b.column(1)
         new = np.ones(b.num_rows, bool)
         new[1:] = pc.not_equal(block.slice(1), block.slice(0, len(block) - 1)).to_numpy(zero_copy_only=False)
         new[0] = last is None or block[0].as_py() != last
         last = block[len(block) - 1].as_py()
         names = name + np.cumsum(new)
         name = int(names[-1])
-        flat = places.flatten()
-        yield pa.record_batch([*flat.flatten(), pa.array(names[pc.list_parent_indices(places).to_numpy()])], names=["uid", "i", "n", "doc_id", "chars", "sha", "name"])
+        yield pa.record_batch([b.column(0), pa.array(names)], names=["bid", "name"])
 
 
 def identities(docs: DataFrame) -> DataFrame:
     """(uid, doc_id, chars, sha, level, name): equal (level, name) exactly where the texts are equal. Written to the shared folder."""
     spark = docs.sparkSession
     tune(spark)
-    blocks = texts(docs).mapInArrow(_blocks, f"block binary, places array<struct<uid:long,i:long,n:long,{_META.replace(' ', ':').replace(',:', ',')}>>")
-    named = materialize(blocks.repartition("block").sortWithinPartitions("block").mapInArrow(_names, f"uid long, i long, n long, {_META}, name long"))
-    release(spark)
+    blocks = texts(docs).mapInArrow(_blocks, f"bid long, block binary, places array<struct<uid:long,i:long,n:long,{_META.replace(' ', ':').replace(',:', ',')}>>")
+    blocks = materialize(blocks)
+    names = blocks.where("block is not null").select("bid", "block").repartition("block").sortWithinPartitions("block").mapInArrow(_names, "bid long, name long")
+    named = materialize(blocks.select("bid", "places").join(names, "bid").selectExpr("inline(places)", "name"))
+    release(spark, blocks)
     level, cur, done, old = 0, named.select("uid", "i", "n", "name"), [named.where("n = 1").selectExpr("uid", "0 as level", "name")], []
     most = named.agg(F.max("n")).first()[0] or 1
     while most > 1:

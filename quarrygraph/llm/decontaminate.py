@@ -34,8 +34,8 @@ from quarrygraph.llm.windows import text_hashes
 WINDOW, SEED_WORDS, COVERAGE = 8, 5, 0.6
 SEED, RAW, LONG = range(3)
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_found", pa.int64()), ("n_windows", pa.int64()), ("exact", pa.bool_()), ("did", pa.int64()), ("th", pa.int64())])
-#: Hashes of benchmark windows that are broadcast as a filter before the join; with more, all windows are joined.
-FILTER_HASHES = 500_000
+#: Hashes of benchmark windows that are broadcast as a filter before the join; of more, a bitmap of up to so many bits (32 MB).
+FILTER_HASHES, FILTER_BITS = 500_000, 28
 #: Units of measure.
 UNITS = ("mm", "cm", "m", "km", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "mg", "g", "kg", "ton", "tons", "ounce", "ounces", "pound", "pounds", "ml", "l", "liter", "liters", "litre", "litres", "gallon", "gallons", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "cent", "cents", "euro", "euros", "degree", "degrees", "mph", "kmh", "watt", "watts", "volt", "volts", "joule", "joules", "hz", "kb", "mb", "gb", "tb")
 #: Placeholders of numbers, names and units.
@@ -211,16 +211,38 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
     return items.mapInArrow(rows, ITEM)
 
 
-def document_windows(docs: DataFrame, sizes: list[tuple[int, int]], wanted: np.ndarray | None) -> DataFrame:
-    """(doc_id, did, th, h, dpos, dslots) of all windows of the given sizes and kinds whose hash is wanted."""
+class Filter:
+    """Which hashes may be wanted: exactly those of few, else those with a bit in a bitmap; the join decides."""
+
+    def __init__(self, hashes: DataFrame):
+        few = [r["h"] for r in hashes.limit(FILTER_HASHES + 1).collect()]
+        self.wanted = np.unique(np.array(few, np.int64).view(np.uint64)) if len(few) <= FILTER_HASHES else None
+        self.bits = 20
+        if self.wanted is None:
+            n = hashes.count()
+            self.bits = min(FILTER_BITS, max(20, (16 * n).bit_length()))
+            at = F.shiftrightunsigned("h", 64 - self.bits)
+            # A row for each byte of the bitmap that has a bit.
+            got = hashes.groupBy(F.shiftright(at, 3).alias("byte")).agg(F.bit_or(F.expr(f"shiftleft(1, int(shiftrightunsigned(h, {64 - self.bits}) & 7))")).alias("on")).toPandas()
+            self.map = np.zeros(1 << self.bits - 3, np.uint8)
+            self.map[got["byte"].to_numpy()] = got["on"].to_numpy()
+        else:
+            self.map = np.zeros(1 << self.bits - 3, np.uint8)
+            place = self.wanted >> np.uint64(64 - self.bits)
+            np.bitwise_or.at(self.map, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7))).astype(np.uint8))
+
+    def passing(self, h: np.ndarray) -> np.ndarray:
+        place = h >> np.uint64(64 - self.bits)
+        ok = np.flatnonzero(self.map[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+        return ok if self.wanted is None else ok[np.isin(h[ok], self.wanted)]
+
+
+def document_windows(docs: DataFrame, sizes: list[tuple[int, int]], wanted: Filter) -> DataFrame:
+    """(doc_id, did, th, h, dpos, dslots) of all windows of the given sizes and kinds whose hash may be wanted."""
     spark: SparkSession = docs.sparkSession
     held = spark.sparkContext.broadcast(wanted)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = held.value
-        if want is not None:
-            maybe = np.zeros(1 << 20, bool)
-            maybe[want >> np.uint64(44)] = True
         for b in batches:
             did, th = ids(column(b, "doc_id")), text_hashes(b)
             data, off = utf8(column(b, "text"))
@@ -229,10 +251,8 @@ def document_windows(docs: DataFrame, sizes: list[tuple[int, int]], wanted: np.n
                 word, own, slot, either, first = template(points, at)
                 for n, kind in sizes:
                     p, h, m = _windows(word, own, slot, either, first[:-1], first[1:], n, kind)
-                    if want is not None:
-                        ok = np.flatnonzero(maybe[h >> np.uint64(44)])
-                        ok = ok[np.isin(h[ok], want)]
-                        p, h, m = p[ok], h[ok], m[ok]
+                    ok = held.value.passing(h)
+                    p, h, m = p[ok], h[ok], m[ok]
                     if not len(p):
                         continue
                     d = np.searchsorted(first, p, "right") - 1
@@ -299,9 +319,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     tune(docs.sparkSession)
     items = item_windows(benchmark, window)
     sizes = [(r["size"], r["kind"]) for r in items.select("size", "kind").distinct().orderBy("size", "kind").limit(3 * window).collect()]  # three kinds a size at most
-    hashes = [r["h"] for r in items.select("h").distinct().limit(FILTER_HASHES + 1).collect()]
-    wanted = np.unique(np.array(hashes, np.int64).view(np.uint64)) if len(hashes) <= FILTER_HASHES else None
-    found = document_windows(texts(docs), sizes, wanted).join(items, "h")
+    found = document_windows(texts(docs), sizes, Filter(items.select("h").distinct())).join(items, "h")
     at = ["doc_id", "did", "th", "item_id", "ih", "words", "counted", "n_windows"]
     hit = F.struct("ipos", "dpos", "size", "need", "islots", "isure", "dslots")
     pairs = found.groupBy(*at).agg(F.collect_set(hit).alias("hits"))

@@ -4,8 +4,8 @@ A document is a bag of passages (lines, cut every ``PASSAGE`` bytes). Each passa
 network over statistics of its characters and words; a gated attention layer, learned from document labels only, weighs the
 passages; the weighted sum is scored. All passages of the whole text take part.
 
-The model is fitted on at most ``FIT_ROWS`` labelled rows, those of least hash, and of them such as have at most
-``FIT_PASSAGES`` passages, so that the driver holds a bounded table; every document is scored whole.
+The model is fitted on at most ``FIT_ROWS`` labelled rows, those of least hash, and on at most ``FIT_PASSAGES`` passages of each, evenly
+spread over the text, so that the driver holds a bounded table (100 MB); every document is scored whole.
 
 Defined results: a null or empty text is one empty passage and gets a score like any other; a doc_id with contradicting
 labels counts as unlabelled; without any labels every score is 0.5; rows that repeat get equal scores; an empty table
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quarrygraph.llm.common import column, doc_chunks, mix, texts, tune, utf8, word_hashes, word_spans
 
 PASSAGE = 384
-FIT_ROWS, FIT_PASSAGES = 6000, 400
+FIT_ROWS, FIT_PASSAGES = 6000, 200
 HIDDEN, GATE, EPOCHS, BATCH = 16, 12, 12, 64
 THRESHOLD = 0.7
 
@@ -177,19 +177,21 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = FIT_ROWS
             data, off = utf8(column(b, "text"))
             x, doc = features(data, off)
             size = np.bincount(doc, minlength=b.num_rows)
-            ok = size <= FIT_PASSAGES
-            x = x[ok[doc]].astype(np.float32)
-            parts = pa.array([v.tobytes() for v in np.split(x, np.cumsum(size[ok])[:-1])] if ok.any() else [], pa.binary())
-            yield pa.record_batch([column(b, "doc_id").filter(pa.array(ok)), column(b, "y").filter(pa.array(ok)), parts], names=["doc_id", "y", "x"])
+            nth = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+            taken = np.minimum(size, FIT_PASSAGES)
+            # Of n passages, those where the count of taken ones goes up.
+            keep = (nth + 1) * taken[doc] // size[doc] > nth * taken[doc] // size[doc]
+            parts = pa.array([v.tobytes() for v in np.split(x[keep].astype(np.float32), np.cumsum(taken)[:-1])], pa.binary())
+            yield pa.record_batch([column(b, "doc_id"), column(b, "y"), parts], names=["doc_id", "y", "x"])
 
     got = texts(docs).join(sample, "doc_id").mapInArrow(encode, "doc_id long, y int, x binary").toPandas()
     if not len(got) or got["y"].nunique() < 2:
         return None
     got = got.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
     each = [np.frombuffer(v, np.float32).reshape(-1, N_FEATURES) for v in got["x"]]
-    x = np.concatenate(each).astype(float)
+    x = np.concatenate(each)
     first = np.cumsum([0, *map(len, each)])[:-1]
-    return Model(x.mean(0), x.std(0) + 1e-3).fit(x, first, got["y"].to_numpy(float))
+    return Model(x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-3).fit(x, first, got["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ Paths through elements that say they are something else (navigation, forms, adve
 a form, or a class or id, says so only if the element holds neither an article nor the bulk of the page's text.
 
 Defined results: null or empty html, and a page without any text, give an empty text; malformed markup is read as far as it goes
-(unclosed elements end with their parent); rows that repeat give equal rows; an empty table gives an empty table;
+(unclosed elements end with their parent); a line break inside a block is white space; elements deeper than ``DEEPEST`` are part of the one around them; rows that repeat give equal rows; an empty table gives an empty table;
 other columns pass through.
 """
 
@@ -28,11 +28,11 @@ from quarrygraph.llm.common import column, tune, unused
 #: Elements by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select".split())
-BLOCK = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 NOT_CONTENT = frozenset("head title nav header footer aside form button menu dialog label input legend fieldset option".split())
 #: Start tags that end an open element of these names.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-ENDS_P = BLOCK - {"br", "body", "html", "head", "title", "button", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
+ENDS_P = BLOCK - {"body", "html", "head", "title", "button", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 #: Words of class and id attributes that name something other than the article.
 WORDS = frozenset(
@@ -52,6 +52,8 @@ _PUNCT = re.compile(r"[.,;:!?。、，！？；：]")
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 MOST_LINKS, SHARE, ALPHA = 0.6, 0.75, 0.35
+#: Elements in one another beyond this depth are read as part of the one around them, but for such as are no content.
+DEEPEST = 2000
 
 
 @dataclass
@@ -160,6 +162,8 @@ def parse(html: str) -> list[Text]:
                     pop_to(i)
                     break
             continue
+        if name == "br":
+            say(" ")
         if name in VOID:
             continue
         if name in RAW:
@@ -176,11 +180,12 @@ def parse(html: str) -> list[Text]:
                 break
         bad, doubtful, cls = _excluded(name, m[4])
         up = stack[-1]
-        stack.append(Node(name, f"{up.key}/{name}{'.' + cls if cls else ''}", up, up.excluded or bad, up.link or name == "a", up.depth + 1, doubtful, name in ARTICLE and not doubtful))
-        if len(stack) > 2000:  # deeper nesting is flattened
-            stack.pop()
-        else:
-            nodes.append(stack[-1])
+        out_of_it = up.excluded or bad
+        if up.depth >= DEEPEST and not bad:
+            continue
+        key = up.key if out_of_it else f"{up.key}/{name}{'.' + cls if cls else ''}"
+        stack.append(Node(name, key, up, out_of_it, up.link or name == "a", up.depth + 1, doubtful, name in ARTICLE and not doubtful))
+        nodes.append(stack[-1])
     _settle(nodes, out)
     return out
 
@@ -190,12 +195,12 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid") if len(x) else x
 
 
-def extract(html: str | None) -> str:
-    nodes = parse(html or "")
-    usable = [t for t in nodes if not t.at.excluded]
-    solid = [t for t in usable if not t.text.isspace()]
-    if not solid:
-        return ""
+def path_scores(solid: list[Text]) -> dict[str, float]:
+    """The fused ratio of each path, in the order of their first nodes; 0 for paths that are mostly links.
+
+    Text length and punctuation per node, each on a logarithmic scale and smoothed over neighbouring paths, are multiplied, and weighed
+    by the square root of the path's share of the text.
+    """
     paths: dict[str, list[int]] = {}
     for t in solid:
         p = paths.setdefault(t.at.key, [0, 0, 0, 0])
@@ -205,10 +210,20 @@ def extract(html: str | None) -> str:
         p[3] += len(t.text) if t.at.link else 0
     size = np.array(list(paths.values()), float)
     length, punct = np.log1p(size[:, 1] / size[:, 0]), np.log1p(size[:, 2] / size[:, 0])
-    # Length and punctuation per node, smoothed over neighbouring paths and fused.
     fused = _smooth(length) * (0.5 + _smooth(punct)) * np.sqrt(size[:, 1] / size[:, 1].sum())
     fused[size[:, 3] > MOST_LINKS * size[:, 1]] = 0
-    content = {k for k, v in zip(paths, fused, strict=True) if v > 0 and v >= ALPHA * fused.max()}
+    return dict(zip(paths, fused.tolist(), strict=True))
+
+
+def extract(html: str | None, alpha: float = ALPHA) -> str:
+    """The main text of a page; ``alpha`` is the share of the best path's score from which a path is content."""
+    nodes = parse(html or "")
+    usable = [t for t in nodes if not t.at.excluded]
+    solid = [t for t in usable if not t.text.isspace()]
+    if not solid:
+        return ""
+    scores = path_scores(solid)
+    content = {k for k, v in scores.items() if v > 0 and v >= alpha * max(scores.values())}
     if not content:
         return ""
     tops = _article(solid, content)

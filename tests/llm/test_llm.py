@@ -125,6 +125,15 @@ def test_exact_dedup(spark, corpus):
     assert block_naming.exact_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_exact_dedup_of_blocks_that_all_share(spark, monkeypatch):
+    monkeypatch.setattr(block_naming, "KNOWN", 2)
+    r = random.Random(4)
+    rows = [(i, r.choice(["", "same " * 300, "x" * 1024 + r.choice(["", "y"]), f"own {i % 50}"])) for i in range(3000)]
+    got = block_naming.exact_groups(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    size = Counter(t.replace(" ", "") for _, t in rows)
+    assert {r.doc_id: (r.group_size, r.text_sha256) for r in got} == {i: (size[t.replace(" ", "")], sha(t.replace(" ", ""))) for i, t in rows}
+
+
 def brute_windows(sequences, size):
     count = Counter(tuple(s[p : p + size]) for s in sequences for p in range(len(s) - size + 1))
     out = []
@@ -192,7 +201,14 @@ def test_windows_of_texts_longer_than_a_segment(spark, monkeypatch):
     long = "".join(r.choice("abcdefgh ") for _ in range(windows.SEGMENT - 1500)) + parts[0] + "".join(r.choice("ijklmnop ") for _ in range(windows.SEGMENT)) + parts[1] + parts[2]
     rows = [(1, long), (2, "x " + parts[0] + " y"), (3, parts[2] + parts[3])]
     got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_array.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
-    assert got == {1: (6000, 2), 2: (3000, 1), 3: (3000, 1)} or all(abs(got[i][0] - n) < 9 for i, n in ((1, 6000), (2, 3000), (3, 3000)))
+    raw = [x.encode() for _, x in rows]
+    seen = Counter(hash(b[p : p + 200]) for b in raw for p in range(len(b) - 199))
+    for (i, _), b in zip(rows, raw, strict=True):
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 199):
+            if seen[hash(b[p : p + 200])] > 1:
+                gone[p : p + 200] = True
+        assert got[i] == (int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum())) and gone.sum() >= 3000
     words = [x.split() for _, x in rows]
     want = {i: (len(w), int(g.sum())) for (i, _), w, g in zip(rows, words, brute_windows(words, 35), strict=True)}
     assert {x.doc_id: (x.n_words, x.n_removed) for x in suffix_tree.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()} == want
@@ -368,7 +384,9 @@ def test_decontamination_of_whole_items(spark, item, copy, found):
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 5)] * found
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("few", [decontaminate.FILTER_HASHES, 0])
+def test_decontamination(spark, monkeypatch, few):
+    monkeypatch.setattr(decontaminate, "FILTER_HASHES", few)
     item = "Alice sold 48 clips in April, and then she sold half as many clips in May. How far did Alice walk, 12 km or more, before she came home again?"
     other = "A train leaves the station slowly while seven birds sit quietly on the long grey wire above it."
     filler = "some quite different words that say nothing at all about it " * 3
@@ -585,6 +603,49 @@ def test_extraction_of_link_lists():
     assert tagpath.extract(f"<body><div>{refs}</div><div><p>{LONG_TEXT}</p>{refs}{table}</div><div>{refs}</div></body>") == want
 
 
+def test_path_ratios_by_brute_force():
+    """Scores of paths against the formula over a second parser's paths."""
+    from html.parser import HTMLParser
+
+    class Paths(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.at, self.found = [], {}
+
+        def handle_starttag(self, tag, attrs):
+            self.at.append(tag)
+
+        def handle_endtag(self, tag):
+            self.at.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                p = self.found.setdefault("/" + "/".join(self.at), [0, 0, 0])
+                p[0], p[1], p[2] = p[0] + 1, p[1] + len(data), p[2] + sum(data.count(c) for c in ".,;:!?")
+
+    r = random.Random(7)
+    for _ in range(30):
+        parts = [f"<div><{t}>{LONG_TEXT[: r.randint(5, 90)] * r.randint(1, 3)}</{t}></div>" for t in r.choices(["p", "h2", "section", "pre", "td"], k=r.randint(1, 9))]
+        page = f"<html><body>{''.join(parts)}</body></html>"
+        q = Paths()
+        q.feed(page)
+        rows = list(q.found.values())
+        mean = lambda v, i: 0.25 * v[max(i - 1, 0)] + 0.5 * v[i] + 0.25 * v[min(i + 1, len(v) - 1)]
+        length, punct = [np.log(1 + x[1] / x[0]) for x in rows], [np.log(1 + x[2] / x[0]) for x in rows]
+        want = {k: mean(length, i) * (0.5 + mean(punct, i)) * (q.found[k][1] / sum(x[1] for x in rows)) ** 0.5 for i, k in enumerate(q.found)}
+        got = tagpath.path_scores([t for t in tagpath.parse(page) if not t.text.isspace()])
+        assert list(got) == list(want) and np.allclose(list(got.values()), list(want.values()))
+
+
+def test_path_ratios_decide():
+    page = f"<body><div class=top><p>Short line</p></div><div><p>{LONG_TEXT}</p><h2>Head</h2><p>{LONG_TEXT}</p></div><div class=end><span>One more</span></div></body>"
+    assert tagpath.extract(page) == f"{LONG_TEXT}\nHead\n{LONG_TEXT}"
+    assert tagpath.extract(page, alpha=0) == f"Short line\n{LONG_TEXT}\nHead\n{LONG_TEXT}\nOne more"
+    assert tagpath.extract(f"<p>one<br>two <br/> three</p>") == "one two three"
+    assert tagpath.extract("<div>" * 2500 + f"<nav>Menu, menu.</nav><p>{LONG_TEXT}</p>") == LONG_TEXT
+    assert tagpath.extract(f"<div class='post has-tags'><p>{LONG_TEXT}</p></div>") == LONG_TEXT
+
+
 def test_extraction_of_odd_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "plain text only"), (4, "u", "<p>a<"), (5, "u", "<div>" * 3000 + "deep, text."), (6, "u", "<script>x"), (6, "u", "<script>x")]
     got = sorted((r.page_id, r.text, r.n_chars) for r in tagpath.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect())
