@@ -31,6 +31,7 @@ _written: dict[str, SparkSession] = {}
 def tune(spark: SparkSession) -> None:
     """Keep Arrow batches small, as a batch of long documents must fit beside the JVM heap, and send executors this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 20))
     ship(spark)
 
 
@@ -184,7 +185,7 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 #: Symbols that one step of ``span_hashes`` looks at.
-STEP = 1 << 18
+STEP = 1 << 15
 _powers: dict[int, np.ndarray] = {}
 
 

@@ -2,9 +2,10 @@
 
 A document's set is its distinct runs of ``n`` words. Documents with one and the same set form a class of copies; only
 classes are compared. Band and row counts follow from the recall wanted at the threshold. Band hashes are shuffled;
-a bucket ties its classes to its smallest one, and components of these ties are the groups of candidates. Every
-pair inside a group is verified on the full sets: groups are cut into blocks, each task takes a pair of blocks and returns
-counts and local components, never pairs.
+a bucket ties its classes to its smallest one, and components of these ties are the groups of candidates. As chance ties
+chain, a group larger than a block is dealt anew by longer bands, again chosen for the target recall. Every pair inside a
+group is verified on the full sets: groups are cut into blocks, each task takes a pair of blocks and returns counts and local
+components, never pairs.
 
 Result, one row a document: its class id (the smallest doc_id of the verified component), its number of links (documents
 whose sets have at least the threshold's similarity with its own, copies included), and the id of its class of copies.
@@ -30,6 +31,8 @@ from quarrygraph.llm.graph import components
 from quarrygraph.llm.windows import packed, text_hashes, unpacked
 
 NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
+#: Hashes for the longer bands of large groups.
+FINE_HASHES = 512
 #: Classes of a candidate group that one task compares with one another.
 BLOCK = 512
 
@@ -38,7 +41,7 @@ def bands_for(threshold: float, recall: float, most: int) -> tuple[int, int]:
     """(bands, rows) with the most rows, and so the fewest candidates, that reach ``recall`` at ``threshold`` with at most ``most`` hashes."""
     best = None
     for rows in range(1, most + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
         if bands * rows <= most:
             best = bands, rows
     if best is None:
@@ -64,12 +67,27 @@ def ngram_sets(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, n
     return g, np.searchsorted(doc, np.arange(len(off)))
 
 
-def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, did, th, hi, lo, grams, bands binary): identity of each row's set and its band hashes."""
-    r = np.random.default_rng(20)
+def banding(bands: int, rows: int, seed: int):
+    """A function from sets (their hashes, each set's first, no set empty) to a row of ``bands`` band hashes for each."""
+    r = np.random.default_rng(seed)
     mul = (r.integers(1, 2**31, bands * rows, np.uint32) << np.uint32(1)) | np.uint32(1)
     add = r.integers(0, 2**32, bands * rows, np.uint32)
 
+    def of(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+        low = (g >> np.uint64(32)).astype(np.uint32)
+        band = np.zeros((len(first), bands), np.uint64)
+        for k in range(rows if len(first) else 0):
+            sig = np.stack([np.minimum.reduceat(low * mul[b * rows + k] + add[b * rows + k], first) for b in range(bands)], 1)
+            band = mix(band + sig.astype(np.uint64) + np.uint64(k + 1))
+        return mix(band + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    return of
+
+
+def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
+    """(doc_id, did, th, hi, lo, grams, bands binary): identity of each row's set and its band hashes."""
+    hashes = banding(bands, rows, 20)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             did, th = ids(column(b, "doc_id")), text_hashes(b)
@@ -83,18 +101,8 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     d = xxhash.xxh3_128_intdigest(raw)
                     key[k] = d >> 64, d & (2**64 - 1)
                 full = np.flatnonzero(size)
-                sig = np.zeros((len(full), bands, rows), np.uint32)
-                if len(full):
-                    low = (g >> np.uint64(32)).astype(np.uint32)
-                    at = first[full]
-                    for k in range(bands * rows):
-                        sig[:, k // rows, k % rows] = np.minimum.reduceat(low * mul[k] + add[k], at)
                 out: list[bytes | None] = [None] * (j - i)
-                band = np.zeros((len(full), bands), np.uint64)
-                for k in range(rows):
-                    band = mix(band + sig[:, :, k].astype(np.uint64) + np.uint64(k + 1))
-                band = mix(band + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                for k, v in zip(full.tolist(), band, strict=True):
+                for k, v in zip(full.tolist(), hashes(g, first[full]), strict=True):
                     out[k] = v.tobytes()
                 s = slice(i, j)
                 yield pa.record_batch([column(b, "doc_id").slice(i, j - i), pa.array(did[s]), pa.array(th[s]), pa.array(key[:, 0].view(np.int64)), pa.array(np.ascontiguousarray(key[:, 1]).view(np.int64)), pa.array(size), pa.array(out, pa.binary())], names=["doc_id", "did", "th", "hi", "lo", "grams", "bands"])
@@ -102,6 +110,41 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, did long, th long, hi long, lo long, grams long, bands binary")
 
 
+def tied(band: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cid, root): components of classes that share a band, classes that share none are left out; and (root, m, most): each one's size and
+    that of its largest bucket."""
+    buckets = materialize(band.groupBy("band").agg(F.count("*").alias("m"), F.min("cid").alias("hub")).where("m > 1"))
+    found = materialize(components(band.join(buckets.select("band", "hub"), "band").selectExpr("cid as u", "hub as v")).withColumnRenamed("id", "cid"))
+    most = found.join(buckets.groupBy(F.col("hub").alias("cid")).agg(F.max("m").alias("most")), "cid", "left")
+    sizes = materialize(most.groupBy("root").agg(F.count("*").alias("m"), F.max("most").alias("most")).where("m > 1"))
+    release(band.sparkSession, buckets)
+    return found, sizes
+
+
+def dealt_anew(docs: DataFrame, classes: DataFrame, candidates: DataFrame, sizes: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """``candidates`` with their sizes, after groups larger than a block that only chains of buckets hold together are split by longer bands, which less similar sets hardly share.
+
+    A group most of which is in one bucket stays: near copies of one text share longer bands too."""
+    large = materialize(sizes.where(f"m > {BLOCK} and 2 * most < m").select("root"))
+    if large.isEmpty():
+        return candidates, sizes
+    bands, rows = bands_for(threshold, recall, FINE_HASHES)
+    hashes = banding(bands, rows, 21)
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, raw in unpacked(batches):
+            g, _ = ngram_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), n)
+            band = mix(hashes(g, np.zeros(1, np.int64))[0] + np.uint64(row["root"]))
+            yield pa.record_batch([pa.array(band.view(np.int64)), pa.array(np.full(len(band), row["cid"], np.int64))], names=["band", "cid"])
+
+    members = candidates.join(large, "root").join(classes.select("cid", "did", "th"), "cid")
+    band = packed(docs).select("did", "th", "z").join(members, ["did", "th"]).select("root", "cid", "z").mapInArrow(fine, "band long, cid long")
+    # A repeated row has its class's bands twice.
+    split, parts = tied(materialize(band.distinct()))
+    found = candidates.join(large, "root", "left_anti").select("cid", "root").unionByName(split.select("cid", "root"))
+    return materialize(found), materialize(sizes.join(large, "root", "left_anti").unionByName(parts))
+
+
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = utf8(b.column(1))
@@ -172,13 +215,9 @@ def jaccard_links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     classes = materialize(classes.select("hi", "lo", "w", "rep.did", "rep.th", "copies_id", "bands").withColumn("cid", F.monotonically_increasing_id()))
     release(spark)
     band = classes.where("bands is not null").select("cid", "bands").mapInArrow(_exploded, "band long, cid long")
-    buckets = materialize(band.groupBy("band").agg(F.count("*").alias("m"), F.min("cid").alias("hub")).where("m > 1").select("band", "hub"))
-    ties = band.join(buckets, "band").selectExpr("cid as u", "hub as v")
-    candidates = materialize(components(ties).withColumnRenamed("id", "cid"))
-    release(spark, buckets)
-    sizes = materialize(candidates.groupBy("root").agg(F.count("*").alias("m")).where("m > 1"))
+    candidates, sizes = dealt_anew(docs, classes, *tied(band), n, threshold, recall)
     # Members carry their whole sets to each pair of blocks they are in.
-    members = candidates.join(sizes, "root").join(classes.select("cid", "w", "did", "th"), "cid")
+    members = candidates.join(sizes.select("root", "m"), "root").join(classes.select("cid", "w", "did", "th"), "cid")
     sets = materialize(packed(docs).select("did", "th", "z").join(members, ["did", "th"]).mapInArrow(_sets(n), "root long, cid long, w long, m long, grams binary"))
     release(spark)
     k = F.expr(f"int(ceil(m / {BLOCK}))")

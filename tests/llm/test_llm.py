@@ -329,6 +329,15 @@ def test_jaccard_over_block_borders(spark, monkeypatch):
     assert got == [(i, len(p)) for i, p in enumerate(jaccard(rows))]
 
 
+def test_chained_groups_are_dealt_anew(spark, monkeypatch):
+    """A chain of neighbours, each a little off the one before, is one group by bands; its ends have nothing in common."""
+    monkeypatch.setattr(minhash_join, "BLOCK", 8)
+    words = [f"w{i}" for i in range(600)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 120])) for i in range(100)] + [(200 + i, " ".join(words[:119] + [f"x{i}"])) for i in range(30)]
+    got = sorted((x.doc_id, x.n_links) for x in minhash_join.jaccard_links(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(i, len(p)) for (i, _), p in zip(rows, jaccard(rows), strict=True)]
+
+
 def test_bands_reach_recall():
     bands, rows = minhash_join.bands_for(0.8, 0.9999, 128)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
