@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,23 @@ def normal_path(col: Column) -> Column:
     return F.regexp_replace(F.replace(col, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
 
 
+def canonical_text(path: str, root: str | None = None) -> str:
+    """A path with forward slashes and without steps in place or back, below ``root`` if it is relative."""
+    path = path.replace("\\", "/")
+    return posixpath.normpath(path if path.startswith("/") or not root else f"{root}/{path}")
+
+
+def canonical_path(col: Column) -> Column:
+    """``canonical_text`` of a column: steps in place go, a step back takes the folder before it."""
+
+    def step(held: Column, part: Column) -> Column:
+        back = F.when((F.size(held) > 0) & (F.element_at(held, -1) != ".."), F.slice(held, F.lit(1), F.size(held) - 1)).otherwise(F.concat(held, F.array(part)))
+        return F.when(part.isin("", "."), held).when(part == "..", back).otherwise(F.concat(held, F.array(part)))
+
+    parts = F.aggregate(F.split(normal_path(col), "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(F.startswith(normal_path(col), F.lit("/")), "/").otherwise(""), F.array_join(parts, "/"))
+
+
 def project_key(path: Column, tfm: Column) -> Column:
     return F.concat(F.lit("project="), escape(normal_path(path)), F.lit("|tfm="), escape(F.coalesce(F.nullif(F.trim(tfm), F.lit("")), F.lit("unknown"))))
 
@@ -55,6 +74,31 @@ def reference_key(kind: Column, namespace: Column, containing: Column, member: C
     return F.concat_ws("|", *(F.concat(F.lit(f"{n}="), F.coalesce(v, F.lit(""))) for n, v in parts))
 
 
+def method_signature(kind: Column, name: Column, arity: Column, params: Column, returns: Column) -> Column:
+    """A method on the way to a local symbol; ``params`` is an array of texts, constructors return nothing."""
+    back = F.when(kind.isin("Constructor", "StaticConstructor"), "").otherwise(normal_type(returns))
+    return F.concat(kind, F.lit(":"), name, F.lit("`"), arity.cast("string"), F.lit("("), F.array_join(params, ","), F.lit("):"), back)
+
+
+def property_signature(name: Column, params: Column, type_: Column) -> Column:
+    return F.concat(F.lit("property:"), name, F.lit("("), F.array_join(params, ","), F.lit("):"), normal_type(type_))
+
+
+def typed_signature(word: str, name: Column, type_: Column) -> Column:
+    """Events and fields, by their word."""
+    return F.concat(F.lit(f"{word}:"), name, F.lit(":"), normal_type(type_))
+
+
+def extension_signature(type_: Column) -> Column:
+    return F.concat(F.lit("extension:"), normal_type(type_))
+
+
+def json_scalar(value: Column, kind: Column) -> Column:
+    """A constant's text as JSON: truth values and numbers bare, all else as a string, no value as null."""
+    quoted = F.to_json(F.struct(value.alias("v")))
+    return F.when(value.isNull(), "null").when(kind.isin("bool", "number"), F.lower(value)).otherwise(F.substring(quoted, F.lit(6), F.length(quoted) - 6))
+
+
 def canonical_key(project: Column, reference: Column) -> Column:
     return F.concat_ws("|", F.lit(FORMAT), project, reference)
 

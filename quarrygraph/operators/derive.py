@@ -39,8 +39,10 @@ RULES: dict[str, tuple[tuple[str, str], ...]] = {
     "function_pointer": (("calls", "method"),),
     "interpolated_handler": (("calls", "method"),),
     "foreach": (("calls", "get_enumerator"), ("calls", "move_next"), ("references", "current"), ("calls", "dispose")),
+    "foreach_async": (("calls", "get_enumerator"), ("calls", "move_next"), ("references", "current"), ("calls", "dispose"), ("calls", "get_awaiter"), ("references", "is_completed"), ("calls", "get_result"), ("calls", "on_completed")),
     "await": (("calls", "get_awaiter"), ("references", "is_completed"), ("calls", "get_result"), ("calls", "on_completed")),
     "using": (("calls", "dispose"),),
+    "using_async": (("calls", "dispose"), ("calls", "get_awaiter"), ("references", "is_completed"), ("calls", "get_result"), ("calls", "on_completed")),
     "fixed": (("calls", "get_pinnable_reference"),),
     "deconstruction": (("calls", "deconstruct"),),
     "name_syntax": (("references", "member"),),
@@ -144,6 +146,32 @@ def declaration_kind(kind: Column, type_kind: Column) -> Column:
     return F.when(kind == "namedtype", F.lower(type_kind)).otherwise(kind)
 
 
+def declaration_flags(closed: Column, entry_point: Column) -> Column:
+    """The flags of a declaration that hold, as properties."""
+    flags = F.array(F.struct(F.lit("is_closed").alias("key"), closed.alias("on")), F.struct(F.lit("is_entry_point").alias("key"), entry_point.alias("on")))
+    held = F.filter(flags, lambda f: F.coalesce(f["on"], F.lit(False)))
+    return F.map_from_entries(F.transform(held, lambda f: F.struct(f["key"], F.lit("true").alias("value"))))
+
+
+def source_symbols(rows: DataFrame, sources: DataFrame, implicit: bool = False) -> DataFrame:
+    """Symbols (name, file, is_implicit, is_generated) that sources (path) declare: named ones, none that the compiler made up."""
+    named = rows.where((F.trim("name") != "") & ~F.col("is_generated"))
+    named = named if implicit else named.where(~F.col("is_implicit"))
+    return named.join(sources.select(F.col("path").alias("file")).distinct(), "file", "left_semi")
+
+
+def member_edges(members: DataFrame) -> DataFrame:
+    """What a member (id, overridden_id, interface_members array) overrides and explicitly implements."""
+    over = members.where("overridden_id is not null").selectExpr("id as source_id", "overridden_id as target_id", "'overrides' as relation")
+    explicit = members.select(F.col("id").alias("source_id"), F.explode("interface_members").alias("target_id")).withColumn("relation", F.lit("implements"))
+    return over.unionByName(explicit).distinct()
+
+
+def union_cases(types: DataFrame) -> DataFrame:
+    """References of union types (id, cases array) to their cases."""
+    return types.select(F.col("id").alias("source_id"), F.explode("cases").alias("target_id")).withColumn("relation", F.lit("references")).distinct()
+
+
 def unpacked_arguments(sites: DataFrame) -> DataFrame:
     """A row an argument of each call site (arguments array); a site without arguments has a ``no_arguments`` marker."""
     a = sites.select("*", F.posexplode_outer("arguments").alias("argument_position", "argument")).drop("arguments")

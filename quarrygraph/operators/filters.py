@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import posixpath
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrygraph.functions.identity import ancestors, glob_regex, under
+from quarrygraph.functions.identity import ancestors, canonical_text, glob_regex, under
 
 # The kinds a query may name.
 KINDS = (
@@ -27,31 +28,53 @@ def symbol_kind() -> Column:
 
 @dataclass(frozen=True)
 class Filters:
-    """Scope of a query; None is no restriction, an empty namespace is the global one."""
+    """Scope of a query; None is no restriction, an empty namespace is the global one.
+
+    Paths of tables are relative to ``root`` and in normal form, so only the filters' own paths are brought into it, and conditions stay plain
+    comparisons that reach the scan.
+    """
 
     search: str | None = None
     namespace: str | None = None
     project: str | None = None
     path: str | None = None
     kind: str | None = None
+    root: str | None = None
+
+    def _path(self, text: str) -> str:
+        full = canonical_text(text, self.root)
+        return posixpath.relpath(full, self.root) if self.root and (full == self.root or full.startswith(self.root.rstrip("/") + "/")) else full
+
+    def document_condition(self) -> Column:
+        """The part of the scope that documents have: project and path of a row's ``file``."""
+        out = F.lit(True)
+        if self.project is not None:
+            out &= F.col("project") == self._path(self.project)
+        if self.path is not None:
+            out &= F.coalesce(under(F.col("file"), F.lit(self._path(self.path))), F.lit(False))
+        return out
 
-    def condition(self) -> Column:
+    def condition(self, places: bool = False) -> Column:
+        """``places``: rows have an array ``locations``, any of which may be on the path."""
         out = F.lit(True)
         if self.search is not None:
             out &= F.contains(F.lower("label"), F.lit(self.search.lower()))
         if self.namespace is not None:
             ns = F.coalesce("namespace", F.lit(""))
             out &= (ns == "") if self.namespace == "" else (ns == self.namespace) | F.startswith(ns, F.lit(f"{self.namespace}."))
-        if self.project is not None:
-            out &= F.col("project") == self.project
-        if self.path is not None:
-            out &= F.coalesce(under(F.col("file"), F.lit(self.path)), F.lit(False))
+        if places:
+            if self.path is not None:
+                out &= F.coalesce(F.exists("locations", lambda at: under(at["file"], F.lit(self._path(self.path)))), F.lit(False))
+            if self.project is not None:
+                out &= F.col("project") == self._path(self.project)
+        else:
+            out &= self.document_condition()
         if self.kind is not None:
             out &= symbol_kind() == ("operator" if self.kind == "userdefinedoperator" else self.kind)
         return out
 
     def apply(self, decl: DataFrame) -> DataFrame:
-        return decl.where(self.condition())
+        return decl.where(self.condition("locations" in decl.columns))
 
 
 def conventional_file(path: Column) -> Column:
@@ -86,6 +109,31 @@ def excludes_folder(folder: Column, excluded: list[str]) -> Column:
     return out
 
 
+def inventory_scope(entries: DataFrame, inputs: DataFrame, patterns: list[str], excluded: list[str], tools: list[str], complete: bool = True, bootstrap: bool = False) -> DataFrame:
+    """Entries (path, is_directory) that a scan keeps: files it lists and folders it walks into.
+
+    Nothing below a tool's folder counts. A known input and the folders above it always do; before evaluation (bootstrap) nothing else does. Then
+    patterns decide; until inputs are completely known, conventional files and all folders count too.
+    """
+    tool = F.lit(False)
+    for t in tools:
+        tool |= under(F.col("path"), F.lit(t))
+    known = inputs.select("path").distinct().withColumn("known", F.lit(True))
+    above = inputs.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct().withColumn("above", F.lit(True))
+    each = entries.where(~tool).join(known, "path", "left").join(above, "path", "left")
+    here, over = F.coalesce("known", F.lit(False)), F.coalesce("above", F.lit(False))
+    if bootstrap:
+        files, folders = here, here | over
+    else:
+        files = here | glob(F.col("path"), patterns, excluded) | (F.lit(not complete) & conventional_file(F.col("path")))
+        reach = F.lit(False)
+        for p in patterns:
+            fixed = p.split("*")[0].split("?")[0].rpartition("/")[0]
+            reach |= (under(F.col("path"), F.lit(fixed)) | under(F.lit(fixed), F.col("path"))) if fixed else F.lit(True)
+        folders = over | F.lit(not complete) | (reach & ~excludes_folder(F.col("path"), excluded))
+    return each.where(F.when(F.col("is_directory"), folders).otherwise(files)).select("path", "is_directory")
+
+
 def classify_events(events: DataFrame, inputs: DataFrame, outputs: list[str], patterns: list[str]) -> DataFrame:
     """(accepted, needs_cold) of each event.
 

@@ -41,6 +41,13 @@ def merged_nodes(decl: DataFrame) -> DataFrame:
     return decl.groupBy("id").agg(F.min("node_kind").alias("node_kind"), F.min("label").alias("label"), ((F.min("node_kind") == F.max("node_kind")) & (F.min("label") == F.max("label"))).alias("agrees"), F.array_sort(F.collect_set(place)).alias("locations"))
 
 
+def checked_nodes(decl: DataFrame) -> DataFrame:
+    """``merged_nodes``, or an error where the rows of an id disagree."""
+    nodes = merged_nodes(decl)
+    same = F.when(F.col("agrees"), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("declarations disagree about "), "id")).cast("string"))
+    return nodes.withColumn("id", same).drop("agrees")
+
+
 def merged_properties(props: DataFrame) -> DataFrame:
     """(id, properties map) of (id, key, value) rows; a key with two values in one node is an error."""
     one = props.groupBy("id", "key").agg(F.min("value").alias("value"), F.max("value").alias("other"))

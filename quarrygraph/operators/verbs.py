@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrygraph.functions.identity import SEPARATOR
+from quarrygraph.functions.identity import SEPARATOR, call_site_id, json_scalar, preview
 from quarrygraph.operators.filters import Filters, symbol_kind
 from quarrygraph.operators.merge import edge_counts
 from quarrygraph.schema import COUNTED
@@ -40,17 +40,48 @@ def signature(decl: DataFrame, symbol_id: str) -> DataFrame:
     return one.select("id", "label", kind.alias("kind"), F.when(F.col("namespace").isNull(), "internal").otherwise("public").alias("accessibility"), F.array_join(modifiers, " ").alias("modifiers"), "namespace", "project", "tfm")
 
 
+#: What a signature says of a parameter and of a generic parameter.
+PARAMETER = ("ordinal", "name", "type", "ref_kind", "is_params", "is_optional", "has_default", "default", "nullable_annotation")
+GENERIC = ("ordinal", "name", "reference_type_constraint", "value_type_constraint", "not_null_constraint", "unmanaged_type_constraint", "constructor_constraint", "constraint_types")
+CLASSES = ("method", "property", "field", "event", "type")
+
+
+def signature_items(facts: DataFrame, decl: DataFrame, symbol_id: str | None = None) -> DataFrame:
+    """Q signature in full, of one id or of all: (symbol, accessibility, modifiers, containing, type, return_type, parameters, generic_parameters,
+    nullable_annotation).
+
+    ``facts`` has a row an id with symbol_class, accessibility, flags (a map of modifiers), containing, type (of a type: itself, of a value: its own),
+    returns, is_constructor, parameters, generic_parameters and nullable. What a class of symbol does not have is null or empty.
+    """
+    if symbol_id is not None:
+        facts, decl = facts.where(F.col("id") == symbol_id), decl.where(F.col("id") == symbol_id)
+    of, is_type = F.col("symbol_class"), F.col("symbol_class") == "type"
+    words = F.coalesce(*(F.when(of == c, modifiers_of(c, {m: F.coalesce(F.col("flags")[m], F.lit(False)) for m in ORDER[c]})) for c in CLASSES), F.array().cast("array<string>"))
+    returns = F.when((of == "method") & ~F.col("is_constructor"), F.col("returns")).when(of.isin("property", "field", "event"), F.col("type"))
+    parameters = F.transform("parameters", lambda p: F.struct(*(p[c].alias(c) for c in PARAMETER)))
+    generics = F.transform("generic_parameters", lambda p: F.struct(*((F.array_sort(p[c]) if c == "constraint_types" else p[c]).alias(c) for c in GENERIC)))
+    row = facts.select(
+        "id", "accessibility", words.alias("modifiers"), "containing", F.when(is_type, F.col("type")).alias("type"), returns.alias("return_type"),
+        F.when(of.isin("method", "property"), parameters).otherwise(F.filter(parameters, lambda _: F.lit(False))).alias("parameters"),
+        F.when(of.isin("method", "type"), generics).otherwise(F.filter(generics, lambda _: F.lit(False))).alias("generic_parameters"),
+        F.when(is_type, F.col("nullable")).otherwise("none").alias("nullable_annotation"),
+    )
+    return symbols(decl).withColumnRenamed("sort_key", "symbol_key").join(row, "id").withColumn("sort_key", F.col("id"))
+
+
+#: Modifiers of each class of symbol, in order.
+ORDER = {
+    "method": ("static", "abstract", "virtual", "override", "sealed", "async", "extern", "readonly"),
+    "property": ("static", "abstract", "virtual", "override", "sealed", "readonly"),
+    "field": ("static", "readonly", "const", "volatile"),
+    "event": ("static", "abstract", "virtual", "override", "sealed"),
+    "type": ("static", "abstract", "sealed"),
+}
+
+
 def modifiers_of(symbol_class: str, flags: dict[str, Column]) -> Column:
     """A symbol's modifiers in the order of its class."""
-    # Modifiers of each class of symbol, in order.
-    order = {
-        "method": ("static", "abstract", "virtual", "override", "sealed", "async", "extern", "readonly"),
-        "property": ("static", "abstract", "virtual", "override", "sealed", "readonly"),
-        "field": ("static", "readonly", "const", "volatile"),
-        "event": ("static", "abstract", "virtual", "override", "sealed"),
-        "type": ("static", "abstract", "sealed"),
-    }[symbol_class]
-    return F.array_compact(F.array(*(F.when(flags[m], m) for m in order if m in flags)))
+    return F.array_compact(F.array(*(F.when(flags[m], m) for m in ORDER[symbol_class] if m in flags)))
 
 
 def usages(edges: DataFrame, decl: DataFrame, targets: DataFrame | str, filters: Filters = Filters(), relations: tuple[str, ...] | None = None) -> DataFrame:
@@ -72,17 +103,17 @@ def callers(edges: DataFrame, decl: DataFrame, targets: DataFrame | str, filters
     return usages(edges, decl, targets, filters, ("calls",))
 
 
-def hierarchy(edges: DataFrame, decl: DataFrame, symbol_id: str | None, direction: str) -> DataFrame:
-    """Q hierarchy: declared neighbours by inheritance and contracts; ``all`` is the union of the four directions."""
+def hierarchy(edges: DataFrame, decl: DataFrame, symbol_id: str | None, direction: str, filters: Filters = Filters()) -> DataFrame:
+    """Q hierarchy: declared neighbours in scope by inheritance and contracts; ``all`` is the union of the four directions."""
     if direction == "all":
-        return reduce(DataFrame.unionByName, (hierarchy(edges, decl, symbol_id, d) for d in DIRECTIONS))
+        return reduce(DataFrame.unionByName, (hierarchy(edges, decl, symbol_id, d, filters) for d in DIRECTIONS))
     own, other = ("source_id", "target_id") if direction in OUTGOING else ("target_id", "source_id")
     hit = edges.where(F.col("relation").isin(*DIRECTIONS[direction]))
     if symbol_id is not None:
         hit = hit.where(F.col(own) == symbol_id)
     near = hit.select(F.col(own).alias("symbol_id"), F.col(other).alias("neighbour_id"), "relation", "evidence", "confidence", F.array_min("locations").alias("at"))
     first = near.groupBy("symbol_id", "relation", "neighbour_id", "evidence").agg(F.max("confidence").alias("confidence"), F.min("at").alias("at"))
-    named = decl.select(F.col("id").alias("neighbour_id"), F.col("label").alias("neighbour_label"), symbol_kind().alias("neighbour_kind"))
+    named = filters.apply(decl).select(F.col("id").alias("neighbour_id"), F.col("label").alias("neighbour_label"), symbol_kind().alias("neighbour_kind"))
     return first.join(named, "neighbour_id").select("symbol_id", F.lit(direction).alias("direction"), shown_relation(F.col("relation")).alias("relation"), "evidence", "neighbour_id", "neighbour_label", "neighbour_kind", "confidence", F.col("at.file").alias("file"), F.col("at.line").alias("line"))
 
 
@@ -94,7 +125,11 @@ def usage_summary(obs: DataFrame, decl: DataFrame, group_by: tuple[str, ...] = (
     """
     if not set(group_by) <= {"project", "namespace"} or len(set(group_by)) != len(group_by):
         raise ValueError("group by project, namespace or both")
-    edges = edge_counts(obs.where(F.col("relation").isin(*COUNTED)))
+    targets = filters.apply(decl.where("node_kind <> 'external_root'")).select(F.col("id").alias("target_id"), F.col("label").alias("target_label"))
+    counted = obs.where(F.col("relation").isin(*COUNTED))
+    if filters != Filters():  # a scope is narrower than all declarations, so it goes before the fold
+        counted = counted.join(targets.select("target_id"), "target_id", "left_semi")
+    edges = edge_counts(counted)
     if group_by:
         origin = decl.select(F.col("id").alias("source_id"), *group_by, F.col("tfm").alias("target_framework"), F.lit(True).alias("declared"))
         edges = edges.join(origin, "source_id", "left").withColumn("is_external_root", F.col("declared").isNull())
@@ -106,7 +141,6 @@ def usage_summary(obs: DataFrame, decl: DataFrame, group_by: tuple[str, ...] = (
     per_origin = edges.groupBy("target_id", "source_id", *keys).agg(*counts)
     names = [f"{r}_{x}" for r in COUNTED for x in ("edges", "occurrences")]
     total = per_origin.groupBy("target_id", *keys).agg(*(F.sum(n).alias(n) for n in names), F.count("source_id").alias("origins"))
-    targets = filters.apply(decl.where("node_kind <> 'external_root'")).select(F.col("id").alias("target_id"), F.col("label").alias("target_label"))
     out = targets.join(total, "target_id", "left")
     zeros = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in (*names, "origins")]
     return out.select("target_id", "target_label", *(k for k in keys if k != "is_external_root"), F.coalesce("is_external_root", F.lit(False)).alias("is_external_root"), *zeros)
@@ -131,6 +165,40 @@ def argument_key(sites: DataFrame) -> Column:
     return F.concat_ws(SEPARATOR, pad("site", 10), pad("formal_ordinal", 5), pad("expansion_index", 5), pad("expression_start", 10))
 
 
+def argument_items(sites: DataFrame, snapshot: str, callee_id: str | None = None, filters: Filters = Filters(), after: str | None = None) -> DataFrame:
+    """Q arguments in full: the 17 fields of each argument, and the sort key of eight parts.
+
+    ``sites`` has a row an argument: caller_id, callee_id, project_key, project, file, line, column, tree_path, invocation_start, invocation_length,
+    formal_id, formal_ordinal, formal_name, argument_kind, is_implicit, expression_start, expression_length, expression, expression_type,
+    converted_type, constant, constant_kind, has_constant. ``after`` is the key a page begins behind: whole documents before it are skipped
+    by their project and file, without a look at their arguments.
+    """
+    hit = sites.where(filters.document_condition())
+    if callee_id is not None:
+        hit = hit.where(F.col("callee_id") == callee_id)
+    if after is not None:
+        project, file = [*after.split(SEPARATOR), ""][:2]
+        hit = hit.where((F.col("project_key") > project) | (F.col("project_key") == project) & (F.col("file") >= file))
+    site = call_site_id(F.lit(snapshot), F.col("project_key"), F.col("tree_path"), F.col("invocation_start"), F.col("invocation_length"))
+    hit = hit.withColumn("call_site_id", site)
+    w = Window.partitionBy("call_site_id", "caller_id", "callee_id", F.coalesce("formal_id", "formal_name", F.lit(""))).orderBy("expression_start", "expression_length", "expression")
+    hit = hit.withColumn("expansion_index", F.row_number().over(w) - 1)
+
+    def pad(c: str, n: int) -> Column:
+        v = F.coalesce(F.col(c), F.lit(-1))
+        return F.when(v < 0, F.concat(F.lit("-"), F.lpad((-v).cast("string"), n, "0"))).otherwise(F.lpad(v.cast("string"), n, "0"))
+
+    key = F.concat_ws(SEPARATOR, "project_key", "file", "tree_path", pad("invocation_start", 10), pad("invocation_length", 10), pad("formal_ordinal", 5), pad("expansion_index", 5), pad("expression_start", 10))
+    span = F.when(F.col("expression_start").isNotNull(), F.struct(F.col("expression_start").alias("start"), F.col("expression_length").alias("length")))
+    return hit.select(
+        "caller_id", "callee_id", "call_site_id", F.struct(F.col("invocation_start").alias("start"), F.col("invocation_length").alias("length")).alias("invocation_span"),
+        F.col("formal_id").alias("formal_parameter_id"), F.col("formal_ordinal").alias("formal_parameter_ordinal"), F.col("formal_name").alias("formal_parameter_name"),
+        "argument_kind", "is_implicit", "expansion_index", span.alias("expression_span"), preview(F.col("expression")).alias("expression_preview"), (F.length("expression") > 512).alias("expression_truncated"),
+        "expression_type", "converted_type", F.when(F.col("has_constant"), json_scalar(F.col("constant"), F.col("constant_kind"))).alias("constant_value"),
+        F.struct("file", "line", "column").alias("location"), key.alias("sort_key"),
+    )
+
+
 def argument_gaps(call_edges: DataFrame, sites: DataFrame) -> DataFrame:
     """Call sites that are evidence but have no argument details."""
     return call_edges.join(sites.select("site").distinct(), "site", "left_anti")

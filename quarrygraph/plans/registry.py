@@ -656,3 +656,6 @@ def stream_dirty_paths(spark: SparkSession, d: str) -> DataFrame:
     state = DirtyState(spark, f"{root}/state")
     watch(spark, f"{root}/in", state, f"{root}/checkpoint", files_per_trigger=1_000_000).awaitTermination()
     return state.paths()
+
+
+from quarrygraph.plans import verb_queries  # noqa: E402, F401  registers more, with the names above

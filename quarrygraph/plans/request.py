@@ -90,7 +90,7 @@ class Spec:
         if self.command in ONE_SYMBOL and not (self.symbol_id or "").strip():
             raise QueryError("invalid_arguments", f"{self.command} requires symbol_id")
         if self.command == "arguments" and {"kind", "namespace"} & self.filters.keys():
-            raise QueryError("invalid_arguments", "arguments accepts only path and project filters")
+            raise QueryError("invalid_arguments", "a scope of arguments is a path, a project or both")
         if self.direction is not None and self.direction not in DIRECTIONS:
             raise QueryError("invalid_arguments", "unknown direction")
         if len(set(self.group_by)) != len(self.group_by) or not set(self.group_by) <= {"project", "namespace"}:

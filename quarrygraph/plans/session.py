@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fcntl
+import hashlib
 import json
 import os
 import tempfile
@@ -15,13 +16,14 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.functions.identity import SEPARATOR
+from quarrygraph.functions.identity import SEPARATOR, canonical_text
+from quarrygraph.lineage import cut
 from quarrygraph.operators import verbs
 from quarrygraph.operators.filters import Filters
 from quarrygraph.operators.incremental import contributions_to_reuse, reverse_closure
 from quarrygraph.operators.merge import merged_edges
 from quarrygraph.plans.export import write_document
-from quarrygraph.plans.paging import View, envelope, respond
+from quarrygraph.plans.paging import View, envelope, read_cursor, respond
 from quarrygraph.plans.request import QueryError, Spec, parse
 
 CACHE_VERSION = "cache/v1"
@@ -113,7 +115,7 @@ def refresh(cache: Cache, fingerprints: DataFrame, references: DataFrame, extrac
         before = old.select("project", F.col("digest").alias("was")).distinct()
         joined = before.join(fingerprints, "project", "full")
         changed = joined.where("was is null or digest is null or was <> digest").select("project")
-        dirty = reverse_closure(changed, references).persist()
+        dirty = cut(reverse_closure(changed, references))
         if dirty.isEmpty():
             return {"extracted_projects": 0, "reused_projects": before.count()}
         keep = contributions_to_reuse(old, dirty)
@@ -123,6 +125,29 @@ def refresh(cache: Cache, fingerprints: DataFrame, references: DataFrame, extrac
     return {"extracted_projects": fingerprints.count() - reused, "reused_projects": reused}
 
 
+def cached_refresher(cache: Cache, fingerprints: Callable[[], DataFrame], references: Callable[[], DataFrame], extract: Callable[[DataFrame], DataFrame], tables: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> Callable[[bool], tuple[DataFrame, DataFrame, dict[str, int]]]:
+    """A session's refresher over a cache: what ``refresh`` leaves there, as (declarations, observations) by ``tables``."""
+
+    def run(rebuild: bool) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+        counts = refresh(cache, fingerprints(), references(), extract, rebuild)
+        status, held, _ = cache.load()
+        if held is None:
+            raise QueryError("io_error", f"the cache is {status} after a refresh")
+        return (*tables(held), counts)
+
+    return run
+
+
+def sidecar(path: str, kind: str) -> str:
+    """Where an output's manifest or lock stands: a manifest by the hash of the canonical path, a lock by the file's own name, as the file system spells it."""
+    full = os.path.abspath(path)
+    folder, name = os.path.split(full)
+    if not name:
+        raise QueryError("invalid_arguments", "the output needs a file name")
+    file = f"manifest-{hashlib.sha256(canonical_text(full).encode()).hexdigest()}.json" if kind == "manifest" else f"output-{name}.lock"
+    return os.path.join(folder, ".quarrygraph", file)
+
+
 @dataclass
 class Session:
     """Evidence tables with a view; runs requests and always answers with an envelope."""
@@ -131,6 +156,12 @@ class Session:
     observations: DataFrame
     arguments: DataFrame | None = None
     view: View = field(default_factory=View)
+    #: Facts for full signatures.
+    signatures: DataFrame | None = None
+    #: (rebuild) -> new declarations and observations, and how many projects were extracted and reused.
+    refresher: Callable[[bool], tuple[DataFrame, DataFrame, dict[str, int]]] | None = None
+    #: The folder that paths of tables are relative to.
+    root: str | None = None
 
     def publish(self, declarations: DataFrame, observations: DataFrame) -> None:
         self.declarations, self.observations = declarations, observations
@@ -158,7 +189,7 @@ class Session:
         return row[0].asDict()
 
     def _run(self, spec: Spec) -> dict[str, Any]:
-        decl, filters = self.declarations, Filters(search=spec.search, **spec.filters)
+        decl, filters = self.declarations, Filters(search=spec.search, root=self.root, **spec.filters)
         if spec.command == "symbols":
             return respond(verbs.symbols(decl, filters), "sort_key", self.view, spec)
         if spec.command == "usage-summary":
@@ -172,20 +203,32 @@ class Session:
                 digest = write_document(nodes, merged_edges(self.observations), spec.output_path, self.view.diagnostics)
             return envelope(self.view, spec) | {"export": {"path": spec.output_path, "sha256": digest}}
         if spec.command == "refresh":
-            self.view.revision += 1
-            return envelope(self.view, spec)
+            counts = {"extracted_projects": 0, "reused_projects": 0}
+            if self.refresher is None:
+                self.view.revision += 1
+            else:
+                declared, observed, counts = self.refresher(spec.rebuild)
+                self.publish(declared, observed)
+            return envelope(self.view, spec) | {"refresh": {"rebuild": spec.rebuild, **counts}}
         symbol = self._declared(spec.symbol_id)
+        if spec.command == "signature" and self.signatures is not None:
+            return respond(verbs.signature_items(self.signatures, decl, spec.symbol_id), "sort_key", self.view, spec)
         if spec.command == "signature":
             return respond(verbs.signature(decl, spec.symbol_id).withColumn("sort_key", F.col("id")), "sort_key", self.view, spec)
         if spec.command == "arguments":
-            if symbol["node_kind"] not in ("method", "constructor", "property") or self.arguments is None:
-                raise QueryError("unsupported_symbol", "only methods and constructors have arguments")
+            raw = (symbol["raw_kind"] or "").lower()
+            if symbol["node_kind"] not in ("method", "constructor") or raw not in ("ordinary", "method", "constructor", "staticconstructor") or self.arguments is None:
+                raise QueryError("unsupported_symbol", "only ordinary methods and constructors have arguments")
+            if "caller_id" in self.arguments.columns:
+                return respond(verbs.argument_items(self.arguments, self.view.snapshot_id, spec.symbol_id, filters, read_cursor(self.view, spec) if self.view.warm else None), "sort_key", self.view, spec)
+            if filters.path is not None or filters.project is not None:
+                raise QueryError("unsupported_capability", "these arguments have no documents to filter by")
             sites = verbs.arguments(self.arguments.where(F.col("callee_id") == spec.symbol_id))
             return respond(sites.withColumn("sort_key", verbs.argument_key(sites)), "sort_key", self.view, spec)
         own = self.observations.where((F.col("target_id") == spec.symbol_id) | (F.col("source_id") == spec.symbol_id))
         edges = merged_edges(own)
         if spec.command == "hierarchy":
-            near = verbs.hierarchy(edges, decl, spec.symbol_id, spec.direction or "all")
+            near = verbs.hierarchy(edges, decl, spec.symbol_id, spec.direction or "all", filters)
             key = F.concat_ws(SEPARATOR, "relation", "direction", "neighbour_id", "evidence")
             return respond(near.withColumn("sort_key", key), "sort_key", self.view, spec)
         find = verbs.callers if spec.command == "callers" else verbs.usages

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import re
 import time
 from dataclasses import asdict, dataclass
 from pathlib import Path
 from typing import Any
 
+from quarrygraph.functions.identity import SEPARATOR, canonical_text
 from quarrygraph.plans.request import QueryError
 from quarrygraph.plans.session import atomic_write
 
@@ -67,6 +70,18 @@ class Registry:
         return found[0]
 
 
+def endpoint_name(prefix: str, kind: str, session_id: str, state_folder: str) -> str:
+    """The name a session's endpoint has: a prefix and 24 hex digits of what it is, its id and the canonical folder of its state."""
+    if not session_id.strip("0-"):
+        raise ValueError("an endpoint needs a session id")
+    text = SEPARATOR.join([kind, session_id.lower(), canonical_text(os.path.abspath(state_folder))])
+    return prefix + hashlib.sha256(text.encode()).hexdigest()[:24]
+
+
+def is_endpoint(prefix: str, name: str | None) -> bool:
+    return name is not None and re.fullmatch(re.escape(prefix) + "[0-9a-f]{24}", name) is not None
+
+
 def liveness(d: Descriptor) -> str:
     """live, stale (another or no process has the number) or unknown."""
     try:

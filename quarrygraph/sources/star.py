@@ -97,6 +97,50 @@ def call_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.select(F.col("l_orderkey").alias("site"), F.col("l_linenumber").alias("formal_ordinal"), F.col("l_partkey").alias("expression_start"), F.col("l_suppkey").alias("expression_length"), F.col("l_extendedprice").alias("price"), ident("part", "l_partkey").alias("callee_id"), F.lit("explicit").alias("argument_kind"))
 
 
+def signature_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of signatures: suppliers as types, customers as methods, parts as properties."""
+    parameter = "named_struct('ordinal', {0}, 'name', '{1}', 'type', '{2}', 'ref_kind', '{3}', 'is_params', false, 'is_optional', {4}, 'has_default', {4}, 'default', {5}, 'nullable_annotation', 'none')"
+    generic = "named_struct('ordinal', 0, 'name', 'T', 'reference_type_constraint', true, 'value_type_constraint', false, 'not_null_constraint', false, 'unmanaged_type_constraint', false, 'constructor_constraint', false, 'constraint_types', array('IB', 'IA'))"
+    two = f"array({parameter.format(0, 'a', 'int', 'none', 'false', 'null')}, {parameter.format(1, 'b', 'string', 'ref', 'true', chr(39) + chr(34) + 'x' + chr(34) + chr(39)) })"
+    one = f"array({generic})"
+    none = lambda of: f"filter({of}, x -> false)"
+    names = ("id", "symbol_class", "accessibility", "flags", "containing", "type", "returns", "is_constructor", "parameters", "generic_parameters", "nullable")
+
+    def rows(df: DataFrame, *cols: str) -> DataFrame:
+        return df.selectExpr(*(f"{c} as {n}" for c, n in zip(cols, names, strict=True)))
+
+    s = rows(table(spark, sf_dir, "supplier"), "concat('supplier:', s_suppkey)", "'type'", "if(s_suppkey % 2 = 0, 'internal', 'public')", "map('sealed', s_suppkey % 7 = 0, 'abstract', s_suppkey % 5 = 0, 'static', s_suppkey % 3 = 0, 'async', true)", "'N'", "s_name", "'void'", "false", two, f"if(s_suppkey % 4 = 0, {one}, {none(one)})", "if(s_suppkey % 2 = 0, 'annotated', 'notannotated')")
+    c = rows(table(spark, sf_dir, "customer"), "concat('customer:', c_custkey)", "'method'", "'public'", "map('readonly', c_custkey % 4 = 0, 'override', c_custkey % 3 = 0, 'static', c_custkey % 2 = 0, 'extern', null)", "concat('T', c_nationkey)", "null", "c_mktsegment", "c_custkey % 4 = 1", f"if(c_custkey % 3 = 0, {none(two)}, {two})", none(one), "'annotated'")
+    p = rows(table(spark, sf_dir, "part"), "concat('part:', p_partkey)", "'property'", "'private'", "map('virtual', p_size % 2 = 0, 'static', p_size % 3 = 0)", "p_brand", "p_type", "null", "false", none(two), none(one), "'none'")
+    return s.unionByName(c).unionByName(p)
+
+
+def argument_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitems as arguments of their order's call, with all that an argument item tells."""
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    file = "concat('orders/', l_orderkey % 500, '.cs')"
+    return l.selectExpr(
+        "concat('customer:', o_custkey) as caller_id", "concat('part:', l_partkey) as callee_id", "concat('project=src/p', l_orderkey % 5) as project_key", "concat('src/p', l_orderkey % 5, '.csproj') as project",
+        f"{file} as file", "int(l_linenumber) as line", "1 as column", f"concat('gen/', {file}) as tree_path", "l_orderkey as invocation_start", "bigint(l_quantity) as invocation_length",
+        "if(l_linenumber = 1, null, concat('formal:', l_linenumber)) as formal_id", "if(l_linenumber = 1, null, int(l_linenumber) - 1) as formal_ordinal", "if(l_linenumber = 1, null, concat('p', l_linenumber)) as formal_name",
+        "if(l_linenumber = 1, 'extension_receiver', 'explicit') as argument_kind", "l_linestatus = 'O' as is_implicit", "l_partkey * 100 + l_suppkey as expression_start", "bigint(l_linenumber) as expression_length",
+        "repeat(concat('x', l_suppkey), int(l_quantity) * 10) as expression", "'int' as expression_type", "if(l_linenumber = 1, null, 'long') as converted_type",
+        "if(l_returnflag = 'A', string(l_suppkey), if(l_returnflag = 'N', 'say \"', null)) as constant", "if(l_returnflag = 'A', 'number', 'string') as constant_kind", "l_linenumber % 2 = 0 as has_constant",
+    )
+
+
+def operations(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Lineitems as bound operations of some kinds, each with a row for each role a rule knows: members are parts and suppliers by turns."""
+    roles = ("method", "constrained_type", "operator", "member", "getter", "setter", "add", "remove", "length", "indexer", "slice", "deconstruct", "get_enumerator", "move_next", "current", "dispose", "get_awaiter", "is_completed", "get_result", "on_completed", "get_pinnable_reference", "alias")
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
+    l = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    kind = F.element_at(F.array(*map(F.lit, kinds)), (F.expr("(l_orderkey + l_linenumber) % {0}".format(len(kinds))) + 1).cast("int"))
+    each = l.select("*", kind.alias("op_kind"), F.posexplode(F.array(*map(F.lit, roles))).alias("i", "role"))
+    member = F.when(F.col("i") % 2 == 0, ident("part", "l_partkey")).otherwise(ident("supplier", "l_suppkey"))
+    use = F.expr("case l_linenumber % 3 when 0 then 'read' when 1 then 'write' else 'read_write' end")
+    return each.select(ident("customer", "o_custkey").alias("caller_id"), "op_kind", "role", member.alias("member_id"), use.alias("use"), (F.col("l_linenumber") % 2 == 0).alias("is_declaration"), (F.col("l_linestatus") == "O").alias("adds"), F.when(F.col("l_returnflag") != "R", F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string"), F.lit(".cs"))).alias("file"), F.col("l_linenumber").cast("int").alias("line"), F.lit(1).alias("column"))
+
+
 def project_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project, refers_to): each nation refers to the one at half its key, the first to itself."""
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("project"), F.floor(F.col("n_nationkey") / 2).cast("long").alias("refers_to"))

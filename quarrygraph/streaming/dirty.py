@@ -99,8 +99,16 @@ class DirtyState:
 
 def watch(spark: SparkSession, source: str, state: DirtyState, checkpoint: str, files_per_trigger: int = 4):
     """Start the stream over a folder of event files (Parquet); bounded intake a trigger, one writer of the state."""
+
+    def add(df: DataFrame, i: int) -> None:
+        df = df.persist()
+        try:
+            state.add(df, i)
+        finally:
+            df.unpersist()
+
     events = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    return events.writeStream.foreachBatch(lambda df, i: state.add(df.persist(), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def admitted(events: DataFrame, epoch: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.errors import PySparkException
@@ -12,8 +13,8 @@ from quarrygraph import schema
 from quarrygraph.functions import identity as I
 from quarrygraph.operators import derive, incremental, merge, verbs
 from quarrygraph.operators.filters import Filters, excludes_folder, glob, temporary_of
-from quarrygraph.plans import batches, export, paging, request
-from quarrygraph.plans.session import Cache, Lease, Session, integrity_problems, refresh
+from quarrygraph.plans import batches, export, paging, request, sessions
+from quarrygraph.plans.session import Cache, Lease, Session, cached_refresher, integrity_problems, refresh, sidecar
 from quarrygraph.sources import discovery
 from quarrygraph.streaming.dirty import DirtyState, Generation, admitted, path_decision, replay, unconsumed
 
@@ -386,3 +387,62 @@ def test_chains_longer_than_any_round_limit(spark):
     rules = spark.createDataFrame([("0", "*.cs", ["x"])], "item string, glob string, excludes array<string>")
     forwards = spark.range(40).selectExpr("cast(id + 1 as string) as item", "cast(id as string) as upstream", "array('y') as excludes")
     assert {int(r.item) for r in discovery.candidate_rules(rules, forwards).collect()} == set(range(41))
+
+
+def test_scopes_of_hierarchy_and_arguments(spark, graph):
+    d, o = graph
+    facts = spark.createDataFrame(
+        [("m2", "m1", "project=a", "src/a.csproj", f, 1, 1, f, s, 5, "f1", 0, "x", "explicit", False, s + 2, 3, "1", "int", "int", "1", "number", True) for f, s in (("x/a.cs", 10), ("y/b.cs", 20), ("y/b.cs", 30))],
+        "caller_id string, callee_id string, project_key string, project string, file string, line int, column int, tree_path string, invocation_start long, invocation_length long, formal_id string, formal_ordinal int, formal_name string, argument_kind string, is_implicit boolean, expression_start long, expression_length long, expression string, expression_type string, converted_type string, constant string, constant_kind string, has_constant boolean",
+    )
+    s = Session(d, o, arguments=facts, root="/r")
+    run = lambda **k: s.run(request.Spec("arguments", symbol_id="m1", **k))
+    whole = run()
+    assert [i["invocation_span"]["start"] for i in whole["items"]] == [10, 20, 30] and len(whole["items"][0]) == 17 and whole["items"][0]["constant_value"] == "1"
+    assert [i["invocation_span"]["start"] for i in run(filters={"path": "/r/y"})["items"]] == [20, 30]
+    assert run(filters={"project": "src/b.csproj"})["items"] == [] and run(filters={"kind": "method"})["error"]["code"] == "invalid_arguments"
+    first = run(limit=1)
+    assert [i["invocation_span"]["start"] for i in run(limit=5, cursor=first["page"]["cursor"])["items"]] == [20, 30]
+    assert s.run(request.Spec("arguments", symbol_id="p1"))["error"]["code"] == "unsupported_symbol"
+    near = lambda **k: {i["neighbour_id"] for i in s.run(request.Spec("hierarchy", symbol_id="m2", **k))["items"]}
+    assert near() == {"t1", "m1"} and near(filters={"kind": "class"}) == {"t1"} and near(filters={"namespace": "nowhere"}) == set()
+
+
+def test_refresh_tells_what_it_did(spark, graph, tmp_path):
+    d, o = graph
+    cache = Cache(spark, str(tmp_path / "c"))
+    prints = spark.createDataFrame([("a", "1"), ("b", "1")], "project string, digest string")
+    refs = spark.createDataFrame([("a", "b")], "project string, refers_to string")
+    s = Session(d, o, refresher=cached_refresher(cache, lambda: prints, lambda: refs, lambda x: x, lambda held: (d, o)))
+    ask = lambda **k: s.run(request.Spec("refresh", **k))["refresh"]
+    assert ask() == {"rebuild": False, "extracted_projects": 2, "reused_projects": 0}
+    assert ask() == {"rebuild": False, "extracted_projects": 0, "reused_projects": 2}
+    assert ask(rebuild=True) == {"rebuild": True, "extracted_projects": 2, "reused_projects": 0} and s.view.revision == 3
+
+
+def test_names_of_files_and_endpoints(tmp_path):
+    out = str(tmp_path / "x" / ".." / "graph.json")
+    assert sidecar(out, "lock") == str(tmp_path / ".quarrygraph" / "output-graph.json.lock")
+    assert sidecar(out, "manifest") == sidecar(str(tmp_path / "graph.json"), "manifest") and len(os.path.basename(sidecar(out, "manifest"))) == 78
+    name = sessions.endpoint_name("qg-", "query", "11111111-0000-0000-0000-000000000000", str(tmp_path))
+    assert sessions.is_endpoint("qg-", name) and not sessions.is_endpoint("qg-", name[:-1]) and not sessions.is_endpoint("qg-", None)
+    with pytest.raises(ValueError):
+        sessions.endpoint_name("qg-", "query", "00000000-0000-0000-0000-000000000000", str(tmp_path))
+
+
+def test_nodes_that_disagree_are_an_error(spark, graph):
+    d, _ = graph
+    assert merge.checked_nodes(d).count() == d.select("id").distinct().count()
+    with pytest.raises(Exception, match="disagree"):
+        merge.checked_nodes(d.unionByName(d.withColumn("label", F.lit("other")))).collect()
+
+
+def test_inventory_scope_before_and_without_full_discovery(spark):
+    from quarrygraph.operators.filters import inventory_scope
+
+    rows = spark.createDataFrame([("a/x.cs", False), ("a/y.txt", False), ("b/global.json", False), ("a", True), ("b", True), ("out/z.cs", False), ("a/obj/q.cs", False), ("a/obj", True)], "path string, is_directory boolean")
+    known = spark.createDataFrame([("a/y.txt",)], "path string")
+    scope = lambda **k: {r.path for r in inventory_scope(rows, known, ["a/**/*.cs"], ["a/obj/**"], ["out"], **k).collect()}
+    assert scope() == {"a/x.cs", "a/y.txt", "a"}
+    assert scope(bootstrap=True) == {"a/y.txt", "a"}
+    assert scope(complete=False) == {"a/x.cs", "a/y.txt", "a", "b", "b/global.json", "a/obj", "a/obj/q.cs"}
