@@ -14,7 +14,7 @@ or by a shuffle, and the exact table decides about the keys that pass.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -95,8 +95,8 @@ def key_of(line: str, min_chars: int) -> bytes | None:
     return line.encode().lower() if len(line) >= min_chars else None
 
 
-def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(hi, lo, did): the distinct long keys of each row."""
+def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS, passing: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(hi, lo, did): the distinct long keys of each row, or such as pass."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,7 +110,8 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 owner.extend([i] * len(found))
             if owner:
                 h = np.frombuffer(b"".join(hash_), ">i8").reshape(-1, 2).astype(np.int64)
-                yield pa.record_batch([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(did[owner])], names=["hi", "lo", "did"])
+                out = pa.record_batch([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(did[owner])], names=["hi", "lo", "did"])
+                yield out if passing is None else out.filter(pa.array(passing(h[:, 0], h[:, 1])))
 
     return texts(docs).mapInArrow(rows, "hi long, lo long, did long")
 
@@ -194,25 +195,22 @@ class LineIndex:
 
     def drops(self, docs: DataFrame) -> DataFrame:
         """(did, keys array<struct<hi,lo>>): the keys whose lines each document loses."""
-        keys = line_keys(docs, self.min_chars)
         size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
         if size <= BROADCAST_BYTES:
             filters = {r["shard"]: CuckooFilter.of(bytes(r["filter"])) for r in self.filters.collect()}
             held, shards = docs.sparkSession.sparkContext.broadcast(filters), self.shards
 
-            def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    hi, lo = b.column(0).to_numpy(), b.column(1).to_numpy()
-                    ok = np.zeros(len(hi), bool)
-                    of = hi % shards
-                    for s in np.unique(of):
-                        if s in held.value:
-                            ok[of == s] = held.value[s].contains(lo[of == s])
-                    yield b.filter(pa.array(ok))
-
-            keys = keys.mapInArrow(passing, keys.schema)
+            def passing(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+                ok = np.zeros(len(hi), bool)
+                of = hi % shards
+                for s in np.unique(of):
+                    if s in held.value:
+                        ok[of == s] = held.value[s].contains(lo[of == s])
+                return ok
+
+            keys = line_keys(docs, self.min_chars, passing)
         else:
-            keys = self._passing_by_shard(keys)
+            keys = self._passing_by_shard(line_keys(docs, self.min_chars))
         exact = self.refs.where(F.col("n") >= self.min_docs).select("hi", "lo", "keeper")
         return keys.join(exact, ["hi", "lo"]).where("did <> keeper").groupBy("did").agg(F.collect_set(F.struct("hi", "lo")).alias("keys"))
 
