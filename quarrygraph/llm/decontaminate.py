@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrygraph.llm.common import column, doc_chunks, ids, mix, span_hashes, texts, tune, utf8
+from quarrygraph.llm.common import column, doc_chunks, ids, mix, span_hashes, spans, texts, tune, utf8
 from quarrygraph.llm.minhash_join import identified
 from quarrygraph.llm.toxicity import words_of
 from quarrygraph.llm.windows import text_hashes
@@ -84,9 +84,14 @@ def template(points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     last = np.append(part[1:], len(start))
     parts = _hash(points, start, end)
     many = last - part > 1
-    nth = (np.arange(len(parts)) - np.repeat(part, last - part)).astype(np.uint64)
-    own = np.where(many & name[part], mix(np.add.reduceat(mix(parts + mix(nth + np.uint64(1))), part)), parts[part])
-    own = np.where(many & number[part], _hash(points, start[part], end[last - 1]), own)
+    own = parts[part]
+    runs = np.flatnonzero(many & name[part])
+    if len(runs):
+        size = last[runs] - part[runs]
+        nth = spans(size)
+        own[runs] = mix(np.add.reduceat(mix(parts[np.repeat(part[runs], size) + nth] + mix(nth.astype(np.uint64) + np.uint64(1))), np.cumsum(size) - size))
+    marked = np.flatnonzero(many & number[part])
+    own[marked] = _hash(points, start[part[marked]], end[last[marked] - 1])
     start, head, number, name, inside, shape = start[part], head[part], number[part], name[part], inside[part], shape[part]
     first = np.searchsorted(start, off)
     unit = np.append(False, number[:-1]) & ~head & np.isin(own, _unit_hashes())
@@ -112,9 +117,13 @@ def _points(raw: memoryview, off: np.ndarray, i: int, j: int) -> tuple[np.ndarra
     return np.frombuffer(("\n".join(texts_) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32), at
 
 
+#: Odd multipliers drawn at random, one for each place of a window: sums of products of word hashes are multilinear hashes.
+PLACES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def _salted(word: np.ndarray, place: np.ndarray | int) -> np.ndarray:
     """A word's part in a window's hash, by its place in it."""
-    return mix(word + mix(np.asarray(place).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+    return word * PLACES[place]
 
 
 def _sum(word: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
@@ -217,7 +226,6 @@ class Filter:
     def __init__(self, hashes: DataFrame):
         few = [r["h"] for r in hashes.limit(FILTER_HASHES + 1).collect()]
         self.wanted = np.unique(np.array(few, np.int64).view(np.uint64)) if len(few) <= FILTER_HASHES else None
-        self.bits = 20
         if self.wanted is None:
             n = hashes.count()
             self.bits = min(FILTER_BITS, max(20, (16 * n).bit_length()))
@@ -227,14 +235,15 @@ class Filter:
             self.map = np.zeros(1 << self.bits - 3, np.uint8)
             self.map[got["byte"].to_numpy()] = got["on"].to_numpy()
         else:
-            self.map = np.zeros(1 << self.bits - 3, np.uint8)
-            place = self.wanted >> np.uint64(64 - self.bits)
-            np.bitwise_or.at(self.map, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7))).astype(np.uint8))
+            self.map = np.zeros(1 << 20, bool)
+            self.map[self.wanted >> np.uint64(44)] = True
 
     def passing(self, h: np.ndarray) -> np.ndarray:
-        place = h >> np.uint64(64 - self.bits)
-        ok = np.flatnonzero(self.map[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-        return ok if self.wanted is None else ok[np.isin(h[ok], self.wanted)]
+        if self.wanted is None:
+            place = h >> np.uint64(64 - self.bits)
+            return np.flatnonzero(self.map[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+        ok = np.flatnonzero(self.map[h >> np.uint64(44)])
+        return ok[np.isin(h[ok], self.wanted)]
 
 
 def document_windows(docs: DataFrame, sizes: list[tuple[int, int]], wanted: Filter) -> DataFrame:
