@@ -71,8 +71,8 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     cls = _CLASS[data[lo : int(off[-1])]]
     n = np.maximum(end - start, 1).astype(float)
     out = np.zeros((len(start), N_FEATURES))
-    for c in range(_N_CLASS):
-        out[:, c] = _sums(cls == c, edges) / n
+    of = np.repeat(np.arange(len(start)) * _N_CLASS, np.diff(edges)) + cls
+    out[:, :_N_CLASS] = np.bincount(of, minlength=len(start) * _N_CLASS).reshape(-1, _N_CLASS) / n[:, None]
     ws, we, _ = word_spans(data, off)
     if len(ws):
         h = word_hashes(data, ws, we)
