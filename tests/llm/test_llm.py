@@ -555,6 +555,89 @@ def test_loose_automaton():
         assert int(a.match(toxicity._lower(w), np.array([0]), np.array([len(w)]))[0]) == min(all_, default=-1), w
 
 
+def test_toxicity_by_brute_force(spark):
+    """Scores by a plain loop: every word against every term by distance, context by its window, and the logistic model."""
+    r = random.Random(17)
+    bad, good = ["blockhead", "numbskull", "dunderhead", "oaf"], "quick brown fox said that every word sentence plain river stone cloud house tree".split()
+    rows, labels = [], []
+    for i in range(300):
+        words = [r.choice(good) for _ in range(30)]
+        if i % 3 == 0:
+            w = r.choice(bad)
+            if i % 4 == 0 and len(w) > 4:
+                k = r.randrange(1, len(w) - 1)
+                w = r.choice([w[:k] + w[k + 1 :], w[:k] + "z" + w[k:], w[:k] + w[k + 1] + w[k] + w[k + 2 :]])
+            words[r.randrange(30)] = f'"{w}"' if i % 5 == 0 else w
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0, int(i % 3 == 0)))
+    docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m = toxicity.fit(docs, marks, F.lit(True))
+    terms = toxicity._terms(docs, marks.selectExpr("doc_id", "toxic as y"))
+
+    def distance(a, b):
+        d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+                if i and j and x == b[j - 1] and a[i - 1] == y:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a) - 1, len(b) - 1]
+
+    known = {}
+
+    def edits(word):
+        if word not in known:
+            all_ = [distance(t, e) for t, stem in terms for e in ([word[:k] for k in range(1, len(word) + 1)] if stem else [word]) if distance(t, e) <= toxicity.loose(t, stem)]
+            known[word] = min(all_, default=-1)
+        return known[word]
+
+    out = {r.doc_id: r.score for r in toxicity.score(docs, marks, F.lit(True)).collect()}
+    for i, text in rows:
+        found = []
+        for w in re.finditer(r"\w+", text):
+            e = edits(w[0])
+            if e < 0 or e and w[0] in m.innocent:
+                continue
+            before, after = text[max(0, w.start() - 60) : w.start()], text[w.end() : w.end() + 60]
+            quoted = any(q in before[-24:] for q in toxicity.QUOTES) and any(q in after[:24] for q in toxicity.QUOTES)
+            found.append((w[0], e, 1.0 - 0.6 * quoted - 0.4 * any(x in toxicity.REPORTING for x in before.split()[-4:])))
+        x = np.array(toxicity.document_features(found, len(text))) if found else np.zeros(toxicity.N_FEATURES)
+        assert abs(out[i] - 1 / (1 + np.exp(-(x @ m.weights[:-1] + m.weights[-1])))) < 1e-9, (i, text)
+
+
+def test_decontamination_by_brute_force(spark):
+    """Lower-case items and documents without slots: an item is found where enough of its words are in runs of five that the document has too, at one place."""
+    r = random.Random(31)
+    words = [a + b for a in ("ka", "lo", "mi", "tu") for b in ("ren", "sol", "vad", "pim", "gor", "het")]
+    items = [(k, " ".join(r.choice(words) for _ in range(r.randint(4, 30)))) for k in range(12)]
+    docs = []
+    for i in range(60):
+        w = [r.choice(words) for _ in range(r.randint(0, 60))]
+        if i % 2:
+            copy = items[i % 12][1].split()
+            for _ in range(r.randint(0, 3)):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            at = r.randint(0, len(w))
+            w[at:at] = copy[r.randint(0, 2) :]
+        docs.append((i, " ".join(w)))
+    want = set()
+    for i, text in docs:
+        d = text.split()
+        for k, item in items:
+            x = item.split()
+            n = min(5, len(x))
+            places = defaultdict(set)
+            for a in range(len(x) - n + 1):
+                for b in range(len(d) - n + 1):
+                    if x[a : a + n] == d[b : b + n]:
+                        for p in (2 * ((b - a) // len(x)), 2 * ((b - a + len(x) // 2) // len(x)) + 1):
+                            places[p] |= set(range(a, a + n))
+            if max(map(len, places.values()), default=0) >= 0.6 * len(x):
+                want.add((i, k))
+    got = decontaminate.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(g.doc_id, g.item_id) for g in got} == want and 10 < len(want) < 60
+
+
 def test_quotations_weigh_less():
     m = toxicity.Model(toxicity.Automaton.of([("blockhead", False)]))
     plain = toxicity.hits(m, "well you blockhead you")[0]
