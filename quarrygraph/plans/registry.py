@@ -641,7 +641,7 @@ def export_edges(spark: SparkSession, d: str) -> DataFrame:
     return export.export_edges(merge.merged_edges(star.observations(spark, d))).drop("source_locations")
 
 
-@query()
+@query(o.sql([o.EVENTS, _DIRTY], "select * from dirty"))
 def stream_dirty_paths(spark: SparkSession, d: str) -> DataFrame:
     """Events written as files, streamed in, and the state read back: equal to ``dirty_paths``."""
     import tempfile
@@ -655,7 +655,7 @@ def stream_dirty_paths(spark: SparkSession, d: str) -> DataFrame:
     events.repartitionByRange(4, "ts").write.parquet(f"{root}/in")
     state = DirtyState(spark, f"{root}/state")
     watch(spark, f"{root}/in", state, f"{root}/checkpoint", files_per_trigger=1_000_000).awaitTermination()
-    return state.paths()
+    return state.paths().select("path", "first_generation", "last_generation", "cold")
 
 
 from quarrygraph.plans import verb_queries  # noqa: E402, F401  registers more, with the names above

@@ -162,9 +162,17 @@ class Session:
     refresher: Callable[[bool], tuple[DataFrame, DataFrame, dict[str, int]]] | None = None
     #: The folder that paths of tables are relative to.
     root: str | None = None
+    _index: DataFrame | None = field(default=None, repr=False)
+
+    def edges(self) -> DataFrame:
+        """The evidence index: observations folded once for each state of the evidence, sorted by target in range partitions, and kept for later requests."""
+        if self._index is None:
+            order = ["target_id", "source_id", "relation", "evidence"]
+            self._index = cut(merged_edges(self.observations).repartitionByRange(*order).sortWithinPartitions(*order))
+        return self._index
 
     def publish(self, declarations: DataFrame, observations: DataFrame) -> None:
-        self.declarations, self.observations = declarations, observations
+        self.declarations, self.observations, self._index = declarations, observations, None
         self.view.revision += 1
 
     def run(self, spec: Spec) -> dict[str, Any]:
@@ -200,7 +208,7 @@ class Session:
         if spec.command == "export":
             nodes = decl.select("id", "label", "node_kind", F.col("id").alias("symbol_key"), F.create_map().cast("map<string,string>").alias("properties"), F.when(F.col("file").isNotNull(), F.array(F.struct("file", "line", "column"))).otherwise(F.array()).alias("locations"))
             with Lease(spec.output_path):
-                digest = write_document(nodes, merged_edges(self.observations), spec.output_path, self.view.diagnostics)
+                digest = write_document(nodes, self.edges(), spec.output_path, self.view.diagnostics)
             return envelope(self.view, spec) | {"export": {"path": spec.output_path, "sha256": digest}}
         if spec.command == "refresh":
             counts = {"extracted_projects": 0, "reused_projects": 0}
@@ -225,8 +233,7 @@ class Session:
                 raise QueryError("unsupported_capability", "these arguments have no documents to filter by")
             sites = verbs.arguments(self.arguments.where(F.col("callee_id") == spec.symbol_id))
             return respond(sites.withColumn("sort_key", verbs.argument_key(sites)), "sort_key", self.view, spec)
-        own = self.observations.where((F.col("target_id") == spec.symbol_id) | (F.col("source_id") == spec.symbol_id))
-        edges = merged_edges(own)
+        edges = self.edges()
         if spec.command == "hierarchy":
             near = verbs.hierarchy(edges, decl, spec.symbol_id, spec.direction or "all", filters)
             key = F.concat_ws(SEPARATOR, "relation", "direction", "neighbour_id", "evidence")

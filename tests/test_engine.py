@@ -408,6 +408,16 @@ def test_scopes_of_hierarchy_and_arguments(spark, graph):
     assert near() == {"t1", "m1"} and near(filters={"kind": "class"}) == {"t1"} and near(filters={"namespace": "nowhere"}) == set()
 
 
+def test_the_index_is_folded_once_a_revision(graph):
+    d, o = graph
+    s = Session(d, o)
+    near = s.run(request.Spec("hierarchy", symbol_id="m2"))["items"]
+    held = s.edges()
+    assert near and s.run(request.Spec("hierarchy", symbol_id="m2"))["items"] == near and s.edges() is held
+    s.publish(d, o.where("relation = 'calls'"))
+    assert s.run(request.Spec("hierarchy", symbol_id="m2"))["items"] == [] and s.edges() is not held
+
+
 def test_refresh_tells_what_it_did(spark, graph, tmp_path):
     d, o = graph
     cache = Cache(spark, str(tmp_path / "c"))
