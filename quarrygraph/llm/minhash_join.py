@@ -5,7 +5,7 @@ classes are compared. Band and row counts follow from the recall wanted at the t
 a bucket ties its classes to its smallest one, and components of these ties are the groups of candidates. As chance ties
 chain, a group larger than a block is dealt anew by longer bands, again chosen for the target recall. Every pair inside a
 group is verified on the full sets: groups are cut into blocks, each task takes a pair of blocks and returns counts and local
-components, never pairs.
+components, never pairs. Both steps need texts; only those of candidates are shuffled, told by a bitmap before the join.
 
 Result, one row a document: its class id (the smallest doc_id of the verified component), its number of links (documents
 whose sets have at least the threshold's similarity with its own, copies included), and the id of its class of copies.
@@ -18,9 +18,10 @@ a document like any other, and a class of such rows only has a null class id; an
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,6 +36,8 @@ NGRAM, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 FINE_HASHES = 512
 #: Classes of a candidate group that one task compares with one another.
 BLOCK = 512
+#: Bits of the bitmap of candidates at most (32 MB), and of a page of it, which one task makes.
+BITMAP_BITS, PAGE_BITS = 28, 18
 
 
 def bands_for(threshold: float, recall: float, most: int) -> tuple[int, int]:
@@ -110,6 +113,36 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, did long, th long, hi long, lo long, grams long, bands binary")
 
 
+def _places(did: np.ndarray, th: np.ndarray, bits: int) -> np.ndarray:
+    return mix(th.view(np.uint64) + mix(did.view(np.uint64))) >> np.uint64(64 - bits)
+
+
+def among(keys: DataFrame) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A test of rows (did, th) by a bitmap of ``keys`` that tasks are sent: all of ``keys`` pass, and a few others, which the join with them drops."""
+    bits = min(BITMAP_BITS, max(PAGE_BITS, (16 * keys.count()).bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _places(b.column(0).to_numpy(), b.column(1).to_numpy(), bits)
+            yield pa.record_batch([pa.array((at >> np.uint64(PAGE_BITS)).astype(np.int32)), pa.array((at & np.uint64((1 << PAGE_BITS) - 1)).astype(np.int32))], names=["page", "place"])
+
+    def page(x: pd.DataFrame) -> pd.DataFrame:
+        on = np.zeros(1 << PAGE_BITS, bool)
+        on[x["place"].to_numpy()] = True
+        return pd.DataFrame({"page": x["page"].iloc[:1], "bits": [np.packbits(on, bitorder="little").tobytes()]})
+
+    found = np.zeros((1 << bits - PAGE_BITS, 1 << PAGE_BITS - 3), np.uint8)
+    for r in keys.select("did", "th").mapInArrow(places, "page int, place int").groupBy("page").applyInPandas(page, "page int, bits binary").collect():
+        found[r["page"]] = np.frombuffer(r["bits"], np.uint8)
+    held = keys.sparkSession.sparkContext.broadcast(found.ravel())
+
+    def passing(did: np.ndarray, th: np.ndarray) -> np.ndarray:
+        at = _places(did, th, bits)
+        return held.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+
+    return passing
+
+
 def tied(band: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cid, root): components of classes that share a band, classes that share none are left out; and (root, m, most): each one's size and
     that of its largest bucket."""
@@ -137,12 +170,15 @@ def dealt_anew(docs: DataFrame, classes: DataFrame, candidates: DataFrame, sizes
             band = mix(hashes(g, np.zeros(1, np.int64))[0] + np.uint64(row["root"]))
             yield pa.record_batch([pa.array(band.view(np.int64)), pa.array(np.full(len(band), row["cid"], np.int64))], names=["band", "cid"])
 
-    members = candidates.join(large, "root").join(classes.select("cid", "did", "th"), "cid")
-    band = packed(docs).select("did", "th", "z").join(members, ["did", "th"]).select("root", "cid", "z").mapInArrow(fine, "band long, cid long")
+    members = materialize(candidates.join(large, "root").join(classes.select("cid", "did", "th"), "cid"))
+    band = packed(docs, among(members)).select("did", "th", "z").join(members, ["did", "th"]).select("root", "cid", "z").mapInArrow(fine, "band long, cid long")
     # A repeated row has its class's bands twice.
-    split, parts = tied(materialize(band.distinct()))
-    found = candidates.join(large, "root", "left_anti").select("cid", "root").unionByName(split.select("cid", "root"))
-    return materialize(found), materialize(sizes.join(large, "root", "left_anti").unionByName(parts))
+    band = materialize(band.distinct())
+    split, parts = tied(band)
+    found = materialize(candidates.join(large, "root", "left_anti").select("cid", "root").unionByName(split.select("cid", "root")))
+    left = materialize(sizes.join(large, "root", "left_anti").unionByName(parts))
+    release(docs.sparkSession, large, members, band, split, parts, candidates, sizes)
+    return found, left
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +253,9 @@ def jaccard_links(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD,
     band = classes.where("bands is not null").select("cid", "bands").mapInArrow(_exploded, "band long, cid long")
     candidates, sizes = dealt_anew(docs, classes, *tied(band), n, threshold, recall)
     # Members carry their whole sets to each pair of blocks they are in.
-    members = candidates.join(sizes.select("root", "m"), "root").join(classes.select("cid", "w", "did", "th"), "cid")
-    sets = materialize(packed(docs).select("did", "th", "z").join(members, ["did", "th"]).mapInArrow(_sets(n), "root long, cid long, w long, m long, grams binary"))
-    release(spark)
+    members = materialize(candidates.join(sizes.select("root", "m"), "root").join(classes.select("cid", "w", "did", "th"), "cid"))
+    sets = materialize(packed(docs, among(members)).select("did", "th", "z").join(members, ["did", "th"]).mapInArrow(_sets(n), "root long, cid long, w long, m long, grams binary"))
+    release(spark, members)
     k = F.expr(f"int(ceil(m / {BLOCK}))")
     dealt = sets.withColumn("k", k).withColumn("b", F.pmod(F.xxhash64("cid"), F.col("k")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, k - 1)")))
     dealt = dealt.selectExpr("root", "least(b, o) as p", "greatest(b, o) as q", "b", "cid", "w", "grams")

@@ -156,15 +156,19 @@ def text_hashes(batch: pa.RecordBatch) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(raw[off[i] : off[i + 1]], int(null[i])) for i in range(len(off) - 1)], np.uint64).view(np.int64)
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """Rows keyed for joins, their texts compressed: what a shuffle of texts costs is mostly bytes."""
+def packed(docs: DataFrame, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows that ``wanted`` (did, th) lets pass, keyed for joins, their texts compressed: what a shuffle of texts costs is mostly bytes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
+            did, th = ids(column(b, "doc_id")), text_hashes(b)
+            on = np.flatnonzero(wanted(did, th))
+            if not len(on):
+                continue
             data, off = utf8(column(b, "text"))
             raw = memoryview(data)
-            yield pa.record_batch([column(b, "doc_id"), pa.array(ids(column(b, "doc_id"))), pa.array(text_hashes(b)), pa.array([z.compress(raw[off[i] : off[i + 1]]) for i in range(len(off) - 1)], pa.binary())], names=["doc_id", "did", "th", "z"])
+            yield pa.record_batch([column(b, "doc_id").take(pa.array(on)), pa.array(did[on]), pa.array(th[on]), pa.array([z.compress(raw[off[i] : off[i + 1]]) for i in on.tolist()], pa.binary())], names=["doc_id", "did", "th", "z"])
 
     return docs.mapInArrow(rows, "doc_id long, did long, th long, z binary")
 

@@ -338,6 +338,48 @@ def test_chained_groups_are_dealt_anew(spark, monkeypatch):
     assert got == [(i, len(p)) for (i, _), p in zip(rows, jaccard(rows), strict=True)]
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+    sc.listenerBus().waitUntilEmpty(30_000)
+    none = jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_jaccard_shuffles_texts_of_candidates_only(spark, monkeypatch, tmp_path):
+    """Texts that share no band with any other stay where they are, also where groups are dealt anew."""
+    monkeypatch.setattr(minhash_join, "BLOCK", 8)
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(600)]
+    chain = [(i, " ".join(words[4 * i : 4 * i + 120])) for i in range(40)]
+    alone = [(100 + i, " ".join(str(r.random()) for _ in range(4000))) for i in range(60)]
+    spark.createDataFrame(chain + alone, DOCS).write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    before, broadcasts = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many candidates
+    try:
+        got = sorted((x.doc_id, x.n_links) for x in minhash_join.jaccard_links(df).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcasts)
+    moved = shuffled(spark) - before
+    assert got == [(i, len(p)) for (i, _), p in zip(chain, jaccard(chain), strict=True)] + [(i, 0) for i, _ in alone]
+    assert moved < 0.2 * sum(len(t) for _, t in alone)
+
+
+def test_bitmap_of_candidates(spark, monkeypatch):
+    """Every key passes, also where the bitmap has many pages or is too small to tell most others apart."""
+    r = np.random.default_rng(6)
+    did, th = r.integers(-(2**63), 2**63 - 1, (2, 4000))
+    keys = spark.createDataFrame(list(zip(did[:2000].tolist(), th[:2000].tolist(), strict=True)), "did long, th long")
+    for bits, page, others in ((28, 8, 200), (10, 8, 2000)):
+        monkeypatch.setattr(minhash_join, "BITMAP_BITS", bits)
+        monkeypatch.setattr(minhash_join, "PAGE_BITS", page)
+        ok = minhash_join.among(keys)(did, th)
+        assert ok[:2000].all() and ok[2000:].sum() <= others
+    assert not minhash_join.among(keys.limit(0))(did, th).any()
+
+
 def test_bands_reach_recall():
     bands, rows = minhash_join.bands_for(0.8, 0.9999, 128)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
