@@ -55,19 +55,35 @@ def accessor_use(parent: Column, is_target: Column) -> Column:
     return F.when(parent.isin("increment_decrement", "compound_assignment"), "read_write").when((parent == "assignment") & is_target, "write").otherwise("read")
 
 
+def rules_of(op_kind: Column) -> Column:
+    """What ``RULES`` says of a kind, an array of (relation, role): an expression, so that rows no rule asks for end before any join."""
+    return F.create_map(*(x for k, v in RULES.items() for x in (F.lit(k), F.array(*(F.struct(F.lit(r).alias("relation"), F.lit(role).alias("role")) for r, role in v)))))[op_kind]
+
+
 def operation_edges(ops: DataFrame, declared: DataFrame) -> DataFrame:
     """Edges of bound operations: rows (op_kind, caller_id, role, member_id, use, is_declaration, adds, file, line, column), one a member.
 
+    Instead of role and member_id a row may have ``members``, an array of (member_id, roles): one row an operation then, whose caller is looked up
+    before its members are taken apart.
+
     A rule fires for a role of its kind; getters fire on reads, setters on writes, add and remove by the assignment's direction, locals
     only where they are not declared. Caller, target and place are all required. Every edge is extracted with confidence 1.
     """
-    spark = ops.sparkSession
-    rules = spark.createDataFrame([(k, r, role) for k, v in RULES.items() for r, role in v], "op_kind string, relation string, role string")
-    hit = ops.join(F.broadcast(rules), ["op_kind", "role"])  # as many rows as RULES has
-    fires = F.when(F.col("role") == "getter", F.col("use").isin("read", "read_write")).when(F.col("role") == "setter", F.col("use").isin("write", "read_write")).when(F.col("role") == "add", F.col("adds")).when(F.col("role") == "remove", ~F.col("adds")).when(F.col("op_kind") == "local_reference", ~F.col("is_declaration")).otherwise(F.lit(True))
+    ids = declared.select("id")
+    caller, member = (ids.withColumnRenamed("id", c) for c in ("caller_id", "member_id"))
+    nested = "members" in ops.columns
+    if nested:
+        ops = ops.join(caller, "caller_id", "left_semi")
+    hit = ops.withColumn("rule", F.explode(rules_of(F.col("op_kind"))))
+    role = F.col("rule.role")
+    fires = F.when(role == "getter", F.col("use").isin("read", "read_write")).when(role == "setter", F.col("use").isin("write", "read_write")).when(role == "add", F.col("adds")).when(role == "remove", ~F.col("adds")).when(F.col("op_kind") == "local_reference", ~F.col("is_declaration")).otherwise(F.lit(True))
     hit = hit.where(fires & F.col("file").isNotNull())
-    ids = declared.select("id").distinct()
-    hit = hit.join(ids.withColumnRenamed("id", "caller_id"), "caller_id", "left_semi").join(ids.withColumnRenamed("id", "member_id"), "member_id", "left_semi")
+    if nested:
+        hit = hit.withColumn("member_id", F.explode(F.filter("members", lambda m: F.array_contains(m["roles"], role))["member_id"]))
+    else:
+        hit = hit.where(F.col("role") == role)
+    hit = hit.select("caller_id", "member_id", "rule.relation", "file", "line", "column")
+    hit = (hit if nested else hit.join(caller, "caller_id", "left_semi")).join(member, "member_id", "left_semi")
     return hit.select(F.col("caller_id").alias("source_id"), F.col("member_id").alias("target_id"), "relation", F.lit("extracted").alias("evidence"), F.lit(1.0).alias("confidence"), "file", "line", "column")
 
 

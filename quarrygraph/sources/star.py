@@ -130,15 +130,14 @@ def argument_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def operations(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
-    """Lineitems as bound operations of some kinds, each with a row for each role a rule knows: members are parts and suppliers by turns."""
+    """Lineitems as bound operations of some kinds, each with a member for each role a rule knows: members are parts and suppliers by turns."""
     roles = ("method", "constrained_type", "operator", "member", "getter", "setter", "add", "remove", "length", "indexer", "slice", "deconstruct", "get_enumerator", "move_next", "current", "dispose", "get_awaiter", "is_completed", "get_result", "on_completed", "get_pinnable_reference", "alias")
     orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
     l = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     kind = F.element_at(F.array(*map(F.lit, kinds)), (F.expr("(l_orderkey + l_linenumber) % {0}".format(len(kinds))) + 1).cast("int"))
-    each = l.select("*", kind.alias("op_kind"), F.posexplode(F.array(*map(F.lit, roles))).alias("i", "role"))
-    member = F.when(F.col("i") % 2 == 0, ident("part", "l_partkey")).otherwise(ident("supplier", "l_suppkey"))
+    members = F.array(*(F.struct(ident(prefix, key).alias("member_id"), F.array(*map(F.lit, own)).alias("roles")) for prefix, key, own in (("part", "l_partkey", roles[::2]), ("supplier", "l_suppkey", roles[1::2]))))
     use = F.expr("case l_linenumber % 3 when 0 then 'read' when 1 then 'write' else 'read_write' end")
-    return each.select(ident("customer", "o_custkey").alias("caller_id"), "op_kind", "role", member.alias("member_id"), use.alias("use"), (F.col("l_linenumber") % 2 == 0).alias("is_declaration"), (F.col("l_linestatus") == "O").alias("adds"), F.when(F.col("l_returnflag") != "R", F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string"), F.lit(".cs"))).alias("file"), F.col("l_linenumber").cast("int").alias("line"), F.lit(1).alias("column"))
+    return l.select(ident("customer", "o_custkey").alias("caller_id"), kind.alias("op_kind"), members.alias("members"), use.alias("use"), (F.col("l_linenumber") % 2 == 0).alias("is_declaration"), (F.col("l_linestatus") == "O").alias("adds"), F.when(F.col("l_returnflag") != "R", F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string"), F.lit(".cs"))).alias("file"), F.col("l_linenumber").cast("int").alias("line"), F.lit(1).alias("column"))
 
 
 def project_references(spark: SparkSession, sf_dir: str) -> DataFrame:
