@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.functions.identity import SEPARATOR, call_site_id, json_scalar, preview
 from quarrygraph.operators.filters import Filters, symbol_kind
-from quarrygraph.operators.merge import edge_counts
+from quarrygraph.operators.merge import EDGE, distinct_locations, edge_counts
 from quarrygraph.schema import COUNTED
 
 #: Relations as sort keys spell them, and as queries show them.
@@ -93,10 +93,28 @@ def usages(edges: DataFrame, decl: DataFrame, targets: DataFrame | str, filters:
     if relations:
         hit = hit.where(F.col("relation").isin(*relations))
     origin = filters.apply(decl).select(F.col("id").alias("source_id"), F.col("label").alias("origin_label"))
-    each = hit.select("source_id", "target_id", "relation", "evidence", "confidence", F.explode_outer("locations").alias("at")).join(origin, "source_id")
-    place = F.when(F.col("at").isNotNull(), F.concat_ws(":", "at.file", F.col("at.line").cast("string"), F.col("at.column").cast("string"))).otherwise(F.lit(""))
+    return usage_items(hit.select(*EDGE, "confidence", F.explode_outer("locations").alias("at")).select(*EDGE, "confidence", "at.*").join(origin, "source_id"))
+
+
+def usage_items(each: DataFrame) -> DataFrame:
+    """Places of edges (file, line, column), with their origin's label, as a usage query shows them."""
+    place = F.when(F.col("file").isNotNull(), F.concat_ws(":", "file", F.col("line").cast("string"), F.col("column").cast("string"))).otherwise(F.lit(""))
     key = F.concat_ws(SEPARATOR, "source_id", sort_relation(F.col("relation")), F.initcap("evidence"), place)
-    return each.select("target_id", F.col("source_id").alias("origin_id"), "origin_label", shown_relation(F.col("relation")).alias("relation"), "evidence", "confidence", F.col("at.file").alias("file"), F.col("at.line").alias("line"), F.col("at.column").alias("column"), key.alias("sort_key"))
+    return each.select("target_id", F.col("source_id").alias("origin_id"), "origin_label", shown_relation(F.col("relation")).alias("relation"), "evidence", "confidence", "file", "line", "column", key.alias("sort_key"))
+
+
+def observed_usages(obs: DataFrame, decl: DataFrame, filters: Filters = Filters()) -> DataFrame:
+    """Q usages of every target, from observations: what ``usages`` makes of their merged edges, without gathering places and taking them apart again.
+
+    Places are distinct after the first fold; one shuffle by origin then serves the edges' windows and the join.
+    """
+    w = Window.partitionBy(*EDGE)
+    named = obs.where("target_id is not null").withColumns({c: F.when(F.col("file").isNotNull(), F.col(c)) for c in ("line", "column")})
+    each = distinct_locations(named).repartition("source_id").withColumns({"confidence": F.max("confidence").over(w), "places": F.count("file").over(w)})
+    # An edge without places has one row; beside places it has none for observations that name no file.
+    each = each.where("file is not null or places = 0")
+    origin = filters.apply(decl).select(F.col("id").alias("source_id"), F.col("label").alias("origin_label"))
+    return usage_items(each.join(origin, "source_id"))
 
 
 def callers(edges: DataFrame, decl: DataFrame, targets: DataFrame | str, filters: Filters = Filters()) -> DataFrame:

@@ -143,8 +143,7 @@ def usages_in_project(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_usage("true"))
 def usages_all(spark: SparkSession, d: str) -> DataFrame:
-    decl = star.declarations(spark, d)
-    return verbs.usages(merge.merged_edges(star.observations(spark, d)), decl, star.observations(spark, d).select("target_id").distinct())
+    return verbs.observed_usages(star.observations(spark, d), star.declarations(spark, d))
 
 
 def _near(direction: str, symbol: str | None) -> str:
