@@ -6,7 +6,7 @@ one handles each location once and an edge seen a billion times at one place is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrygraph.functions.identity import location_key
@@ -15,6 +15,11 @@ from quarrygraph.schema import RELATIONS, ordinal
 EDGE = ["source_id", "target_id", "relation", "evidence"]
 
 
+def place() -> Column:
+    """Where an observation is, null where it has no file."""
+    return F.when(F.col("file").isNotNull(), F.struct("file", "line", "column"))
+
+
 def distinct_locations(obs: DataFrame) -> DataFrame:
     return obs.groupBy(*EDGE, "file", "line", "column").agg(F.max("confidence").alias("confidence"))
 
@@ -25,9 +30,16 @@ def edge_counts(obs: DataFrame) -> DataFrame:
 
 
 def merged_edges(obs: DataFrame) -> DataFrame:
-    """Edges with confidence and their distinct places in (file, line, column) order."""
-    place = F.when(F.col("file").isNotNull(), F.struct("file", "line", "column"))
-    return distinct_locations(obs).groupBy(*EDGE).agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_list(place)).alias("locations"))
+    """Edges with confidence and their distinct places in (file, line, column) order.
+
+    One shuffle: sets of places are combined map-side, so here too a place seen very often travels once a task.
+    """
+    return obs.groupBy(*EDGE).agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set(place())).alias("locations"))
+
+
+def first_places(obs: DataFrame) -> DataFrame:
+    """Edges with confidence and the ``first`` of their places, null where there is none: one shuffle, and nothing is gathered."""
+    return obs.groupBy(*EDGE).agg(F.max("confidence").alias("confidence"), F.min(place()).alias("first"))
 
 
 def with_location_text(edges: DataFrame) -> DataFrame:
@@ -37,8 +49,7 @@ def with_location_text(edges: DataFrame) -> DataFrame:
 
 def merged_nodes(decl: DataFrame) -> DataFrame:
     """One row an id; ``agrees`` tells whether all its rows have one kind and label."""
-    place = F.when(F.col("file").isNotNull(), F.struct("file", "line", "column"))
-    return decl.groupBy("id").agg(F.min("node_kind").alias("node_kind"), F.min("label").alias("label"), ((F.min("node_kind") == F.max("node_kind")) & (F.min("label") == F.max("label"))).alias("agrees"), F.array_sort(F.collect_set(place)).alias("locations"))
+    return decl.groupBy("id").agg(F.min("node_kind").alias("node_kind"), F.min("label").alias("label"), ((F.min("node_kind") == F.max("node_kind")) & (F.min("label") == F.max("label"))).alias("agrees"), F.array_sort(F.collect_set(place())).alias("locations"))
 
 
 def checked_nodes(decl: DataFrame) -> DataFrame:

@@ -30,8 +30,11 @@ def export_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def export_edges(edges: DataFrame) -> DataFrame:
-    first = F.get("locations", F.lit(0))
-    return edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), snake_case(F.col("relation")).alias("relation"), F.upper("evidence").alias("confidence"), F.col("confidence").alias("confidence_score"), F.coalesce(first["file"], F.lit("")).alias("source_file"), F.when(first.isNotNull(), location_text(first["line"], first["column"])).alias("source_location"), F.when(F.size("locations") > 0, F.col("locations")).alias("source_locations"), F.lit(1.0).alias("weight"))
+    """Edges as exported, by all their ``locations`` or, without ``source_locations``, by the ``first`` of them alone."""
+    whole = "locations" in edges.columns
+    first = F.get("locations", F.lit(0)) if whole else F.col("first")
+    places = [F.when(F.size("locations") > 0, F.col("locations")).alias("source_locations")] if whole else []
+    return edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), snake_case(F.col("relation")).alias("relation"), F.upper("evidence").alias("confidence"), F.col("confidence").alias("confidence_score"), F.coalesce(first["file"], F.lit("")).alias("source_file"), F.when(first.isNotNull(), location_text(first["line"], first["column"])).alias("source_location"), *places, F.lit(1.0).alias("weight"))
 
 
 def validate(nodes: DataFrame, edges: DataFrame) -> list[str]:

@@ -637,7 +637,7 @@ def export_nodes(spark: SparkSession, d: str) -> DataFrame:
 def export_edges(spark: SparkSession, d: str) -> DataFrame:
     from quarrygraph.plans import export
 
-    return export.export_edges(merge.merged_edges(star.observations(spark, d))).drop("source_locations")
+    return export.export_edges(merge.first_places(star.observations(spark, d)))
 
 
 @query(o.sql([o.EVENTS, _DIRTY], "select * from dirty"))

@@ -102,3 +102,17 @@ def test_usages_from_observations_are_those_of_merged_edges(spark):
 def test_usages_are_shuffled_by_place_and_by_origin_only(unbroadcast):
     rows, _ = shuffled(registry.QUERIES["usages_all"](unbroadcast, DATA))
     assert rows <= 50_000  # 67,133 before, with the places gathered, looked up and taken apart
+
+
+def test_first_places_are_those_of_merged_edges(spark):
+    _, obs = observed(spark)
+    rows = lambda df: Counter(map(tuple, df.drop("source_locations").collect()))
+    assert rows(export.export_edges(merge.first_places(obs))) == rows(export.export_edges(merge.merged_edges(obs)))
+
+
+def test_merged_edges_are_shuffled_once(unbroadcast):
+    obs = registry.star.observations(unbroadcast, DATA).count()
+    joined = count(unbroadcast, "lineitem") + count(unbroadcast, "orders")
+    for name in ("edges_merged", "export_edges"):
+        rows, _ = shuffled(registry.QUERIES[name](unbroadcast, DATA))
+        assert rows <= obs + joined, name  # 32,074 before, twice each observation
