@@ -116,3 +116,22 @@ def test_merged_edges_are_shuffled_once(unbroadcast):
     for name in ("edges_merged", "export_edges"):
         rows, _ = shuffled(registry.QUERIES[name](unbroadcast, DATA))
         assert rows <= obs + joined, name  # 32,074 before, twice each observation
+
+
+def test_texts_of_arguments_are_made_behind_the_shuffle(unbroadcast):
+    _, size = shuffled(registry.QUERIES["argument_items"](unbroadcast, DATA))
+    assert size <= 800 * count(unbroadcast, "lineitem")  # 5,885,280 bytes before, with the texts in each row
+
+
+def test_texts_order_arguments_of_one_span(spark):
+    long = "x" * 600
+    texts = [("a", 5, 1, "z"), ("a", 7, 1, long + "b"), ("a", 7, 1, long + "a"), ("a", 7, 1, long), ("a", 7, 2, "a"), ("a", None, None, "q"), ("a", None, None, None), ("b", 7, 1, long + "0"), (None, 7, 1, "c")]
+    same = "'m' as caller_id, 'n' as callee_id, 'k' as project_key, 'p' as project, 'f.cs' as file, 1 as line, 1 as column, 't' as tree_path, 9 as invocation_start, 3 as invocation_length, formal_id, 0 as formal_ordinal, 'b' as formal_name, 'explicit' as argument_kind, false as is_implicit, expression_start, expression_length, 'int' as expression_type, null as converted_type, '1' as constant, 'number' as constant_kind, true as has_constant"
+    rows = spark.createDataFrame(texts, "formal_id string, expression_start int, expression_length int, expression string")
+    want = {("a", None, None): 0, ("a", "q", None): 1, ("a", "z", 5): 2, ("a", long, 7): 3, ("a", long + "a", 7): 4, ("a", long + "b", 7): 5, ("a", "a", 7): 6, (None, "c", 7): 0, ("b", long + "0", 7): 1}  # without an id a formal goes by its name
+    shown = lambda e: None if e is None else e[:512] + "…" if len(e) > 512 else e
+    held = verbs.argument_items(rows.selectExpr(*same.split(", "), "expression"), "s")
+    made = verbs.argument_items(rows.selectExpr(*same.split(", "), "expression as t1"), "s", expression=registry.F.col("t1"))
+    for df in (held, made):
+        got = Counter((r.formal_parameter_id, r.expression_preview, r.expression_truncated, r.expression_span and r.expression_span.start, r.expansion_index) for r in df.collect())
+        assert got == Counter((f, shown(e), e if e is None else len(e) > 512, at, i) for (f, e, at), i in want.items())
