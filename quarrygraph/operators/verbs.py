@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrygraph.functions.identity import SEPARATOR, call_site_id, call_site_text, json_scalar, preview
 from quarrygraph.operators.filters import Filters, symbol_kind
-from quarrygraph.operators.merge import EDGE, distinct_locations, edge_counts
+from quarrygraph.operators.merge import EDGE, distinct_locations
 from quarrygraph.schema import COUNTED
 
 #: Relations as sort keys spell them, and as queries show them.
@@ -147,18 +147,22 @@ def usage_summary(obs: DataFrame, decl: DataFrame, group_by: tuple[str, ...] = (
     counted = obs.where(F.col("relation").isin(*COUNTED))
     if filters != Filters():  # a scope is narrower than all declarations, so it goes before the fold
         counted = counted.join(targets.select("target_id"), "target_id", "left_semi")
-    edges = edge_counts(counted)
+    # Distinct places travel once, to their origin, and are sorted there once: for the edges, the pairs of ends and the join with the origin's group.
+    ends = ["source_id", "target_id"]
+    pair, edge = Window.partitionBy(*ends).orderBy("relation", "evidence"), Window.partitionBy(*EDGE).orderBy("relation", "evidence")
+    places = distinct_locations(counted).select(*EDGE, F.col("file").isNotNull().cast("long").alias("occurrences")).repartition("source_id")
+    places = places.withColumns({"edges": (F.row_number().over(edge) == 1).cast("long"), "origins": ((F.row_number().over(pair) == 1) & F.col("source_id").isNotNull()).cast("long")})
+    places = places.select(*ends, "relation", "edges", "occurrences", "origins")
     if group_by:
-        origin = decl.select(F.col("id").alias("source_id"), *group_by, F.col("tfm").alias("target_framework"), F.lit(True).alias("declared"))
-        edges = edges.join(origin, "source_id", "left").withColumn("is_external_root", F.col("declared").isNull())
-        keys = [*group_by, "target_framework", "is_external_root"]
+        own = [*group_by, "target_framework"]
+        # An origin declared several times in one group counts once as an origin, its edges as often as it is declared.
+        origin = decl.select(F.col("id").alias("source_id"), *group_by, F.col("tfm").alias("target_framework")).repartition("source_id").groupBy("source_id", *own).agg(F.count("*").alias("copies"))
+        places = places.join(origin, "source_id", "left").withColumns({"is_external_root": F.col("copies").isNull(), **{n: F.col(n) * F.coalesce("copies", F.lit(1)) for n in ("edges", "occurrences")}})
+        keys = [*own, "is_external_root"]
     else:
-        edges, keys = edges.withColumn("is_external_root", F.lit(False)), ["is_external_root"]
-    counts = [x for r in COUNTED for x in (F.count_if(F.col("relation") == r).alias(f"{r}_edges"), F.sum(F.when(F.col("relation") == r, F.col("n_locations")).otherwise(0)).alias(f"{r}_occurrences"))]
-    # Origins are distinct after the first fold on (target, origin, group): counting them needs no second shuffle of all edges.
-    per_origin = edges.groupBy("target_id", "source_id", *keys).agg(*counts)
+        places, keys = places.withColumn("is_external_root", F.lit(False)), ["is_external_root"]
     names = [f"{r}_{x}" for r in COUNTED for x in ("edges", "occurrences")]
-    total = per_origin.groupBy("target_id", *keys).agg(*(F.sum(n).alias(n) for n in names), F.count("source_id").alias("origins"))
+    total = places.groupBy("target_id", *keys).agg(*(F.sum(F.when(F.col("relation") == r, F.col(x)).otherwise(0)).alias(f"{r}_{x}") for r in COUNTED for x in ("edges", "occurrences")), F.sum("origins").alias("origins"))
     out = targets.join(total, "target_id", "left")
     zeros = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in (*names, "origins")]
     return out.select("target_id", "target_label", *(k for k in keys if k != "is_external_root"), F.coalesce("is_external_root", F.lit(False)).alias("is_external_root"), *zeros)

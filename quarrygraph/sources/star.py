@@ -51,14 +51,14 @@ def observations(spark: SparkSession, sf_dir: str, which: tuple[str, ...] = ("pa
     """(source_id, target_id, relation, evidence, confidence, file, line, column); location columns are null where there is none."""
     line = table(spark, sf_dir, "lineitem")
     place = {"file": F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string"), F.lit(".cs")), "line": F.col("l_linenumber").cast("int"), "column": F.col("l_quantity").cast("int")}
-    located = line.withColumns(place).withColumns({"evidence": F.expr("case l_returnflag when 'A' then 'extracted' when 'N' then 'inferred' else 'ambiguous' end"), "confidence": 1 - F.col("l_discount")})
+    told = place | {"evidence": F.expr("case l_returnflag when 'A' then 'extracted' when 'N' then 'inferred' else 'ambiguous' end"), "confidence": 1 - F.col("l_discount")}
     tail = ["evidence", "confidence", "file", "line", "column"]
     nowhere = [F.lit("extracted").alias("evidence"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("column")]
     out: list[DataFrame] = []
     if "parts" in which:
-        out.append(located.select(ident("order", "l_orderkey").alias("source_id"), ident("part", "l_partkey").alias("target_id"), F.expr("if(l_linestatus = 'O', 'calls', 'references')").alias("relation"), *tail))
+        out.append(line.withColumns(told).select(ident("order", "l_orderkey").alias("source_id"), ident("part", "l_partkey").alias("target_id"), F.expr("if(l_linestatus = 'O', 'calls', 'references')").alias("relation"), *tail))
     if "calls" in which:
-        bought = located.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        bought = line.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).withColumns(told)  # texts are made behind the join
         out.append(bought.select(ident("customer", "o_custkey").alias("source_id"), ident("supplier", "l_suppkey").alias("target_id"), F.lit("calls").alias("relation"), *tail))
     if "orders" in which:
         o = table(spark, sf_dir, "orders").withColumn("f", F.col("o_orderstatus") == "F")
